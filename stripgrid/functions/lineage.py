@@ -23,6 +23,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Materialise once on reliable storage. Keeps the hash partitioning, so a later join on it needs no shuffle."""
+    """Materialise once on reliable storage, so that losing an executor costs a read and not the whole history."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)

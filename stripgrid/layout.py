@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def quoted(name: str) -> Column:
@@ -64,3 +65,6 @@ NARROW = 64
 
 # Widest n for which an n x n result may be held by one task or by the driver (4096 -> 128 MiB of doubles).
 LOCAL_WIDTH = 4096
+
+# Spark type of a packed row.
+VECTOR = ArrayType(DoubleType())

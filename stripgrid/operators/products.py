@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import matrix_of, matrix_to_lists
-from ..layout import Cells
+from ..layout import VECTOR, Cells
 from .folding import Gram, check_width, fold_rows
 
 # Up to this many columns one hash aggregate with all the sums beats shipping rows to Python workers.
@@ -67,4 +67,4 @@ def times_local(frame: DataFrame, cells: Cells, local: np.ndarray, keep: list[st
             product = matrix_to_lists(matrix_of(batch, [cells]) @ local)
             yield pa.RecordBatch.from_arrays([batch.column(name) for name in keep] + [product], keep + [out])
 
-    return source.mapInArrow(multiply, kept.add(out, "array<double>"))
+    return source.mapInArrow(multiply, kept.add(out, VECTOR))

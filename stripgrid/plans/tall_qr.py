@@ -97,8 +97,11 @@ def squares_of(batches, width: int) -> list[tuple[int, np.ndarray]]:
 
 @dataclass
 class ThinQR:
+    """Q as a row matrix, R (n x n) on the driver, and the factors with Q = A F1^-1 F2^-1 on the projected route."""
+
     q: object
     r: np.ndarray
+    factors: list[np.ndarray] | None = None
 
 
 def thin_qr(matrix, route: str = "auto") -> ThinQR:
@@ -118,7 +121,8 @@ def thin_qr(matrix, route: str = "auto") -> ThinQR:
 def _projected(matrix, r_first: np.ndarray) -> ThinQR:
     once = project(matrix, [r_first])
     r_second = local_r(once)
-    return ThinQR(project(matrix, [r_first, r_second]), np.triu(r_second @ r_first))
+    factors = [r_first, r_second]
+    return ThinQR(project(matrix, factors), np.triu(r_second @ r_first), factors)
 
 
 def project(matrix, factors: list[np.ndarray]):
@@ -129,15 +133,19 @@ def project(matrix, factors: list[np.ndarray]):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = matrix_of(batch, [cells])
-            for factor in factors:
-                rows = np.linalg.solve(factor.T, rows.T).T
+            rows = divide_right(matrix_of(batch, [cells]), factors)
             yield pa.RecordBatch.from_arrays([batch.column(key), matrix_to_lists(rows)], [key, "vec"])
 
     projected = matrix.base.select(key, *cells.columns()).mapInArrow(apply, f"{key} bigint, vec array<double>")
     return matrix.replace(projected, Packed("vec", cells.width))
 
 
+def divide_right(rows: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
+    for factor in factors:
+        rows = np.linalg.solve(factor.T, rows.T).T
+    return rows
+
+
 # -- direct route ------------------------------------------------------------------------------------------
 
 _BLOCKS = "node bigint, ids array<bigint>, q array<double>, r array<double>"

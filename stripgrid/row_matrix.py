@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.monoids import monoid
-from .layout import Cells, Packed, Wide
+from .layout import VECTOR, Cells, Packed, Wide
 from .operators import products, reductions, shape
 
 INT_MAX = 2**31 - 1
@@ -93,7 +93,7 @@ class RowMatrix:
                 vec = matrix_to_lists(np.asarray(fn(matrix_of(batch, [cells])), dtype=np.float64))
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + [vec], keys + ["vec"])
 
-        schema = self.base.select(*keys).schema.add("vec", "array<double>")
+        schema = self.base.select(*keys).schema.add("vec", VECTOR)
         mapped = self.base.select(*keys, *cells.columns()).mapInArrow(apply, schema)
         return self.replace(mapped, Packed("vec", cells.width))
 

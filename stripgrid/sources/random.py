@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..layout import Packed
+from ..layout import Packed, quoted
 from ..row_matrix import RowMatrix
 
 
@@ -22,21 +22,38 @@ def uniform_cells(row: Column, n_cols: int, seed: int) -> Column:
     return F.transform(columns, lambda j: keyed_uniform(row, j, F.lit(seed)))
 
 
-def random_uniform(spark: SparkSession, n_rows: int, n_cols: int, seed: int = 0, partitions: int | None = None):
-    """n_rows x n_cols matrix, uniform on [0, 1)."""
-    rows = spark.range(0, n_rows, 1, partitions).select(F.col("id").alias("row_id"))
+def normal_cells(row: Column, n_cols: int, seed: int) -> Column:
+    """Standard normals by Box-Muller on two keyed uniforms per cell."""
+
+    def normal(j: Column) -> Column:
+        radius = F.sqrt(-2.0 * F.log(1.0 - keyed_uniform(row, j, F.lit(seed), F.lit(0))))
+        angle = 2.0 * math.pi * keyed_uniform(row, j, F.lit(seed), F.lit(1))
+        return radius * F.cos(angle)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)), normal)
+
+
+def uniform_for(keys: DataFrame, row_id: str, n_cols: int, seed: int = 0) -> RowMatrix:
+    """A uniform [0, 1) row for every key of a table."""
+    rows = keys.select(quoted(row_id).cast("bigint").alias("row_id"))
     vec = uniform_cells(F.col("row_id"), n_cols, seed)
-    return RowMatrix(rows.select("row_id", vec.alias("vec")), Packed("vec", n_cols), n_rows=n_rows)
+    return RowMatrix(rows.select("row_id", vec.alias("vec")), Packed("vec", n_cols))
 
 
-def random_normal(spark: SparkSession, n_rows: int, n_cols: int, seed: int = 0, partitions: int | None = None):
-    """n_rows x n_cols matrix of standard normals (Box-Muller on two keyed uniforms)."""
-    rows = spark.range(0, n_rows, 1, partitions).select(F.col("id").alias("row_id"))
+def normal_for(keys: DataFrame, row_id: str, n_cols: int, seed: int = 0) -> RowMatrix:
+    """A standard normal row for every key of a table."""
+    rows = keys.select(quoted(row_id).cast("bigint").alias("row_id"))
+    vec = normal_cells(F.col("row_id"), n_cols, seed)
+    return RowMatrix(rows.select("row_id", vec.alias("vec")), Packed("vec", n_cols))
 
-    def normal(j: Column) -> Column:
-        radius = F.sqrt(-2.0 * F.log(1.0 - keyed_uniform(F.col("row_id"), j, F.lit(seed), F.lit(0))))
-        angle = 2.0 * math.pi * keyed_uniform(F.col("row_id"), j, F.lit(seed), F.lit(1))
-        return radius * F.cos(angle)
 
-    vec = F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)), normal)
-    return RowMatrix(rows.select("row_id", vec.alias("vec")), Packed("vec", n_cols), n_rows=n_rows)
+def random_uniform(spark: SparkSession, n_rows: int, n_cols: int, seed: int = 0, partitions: int | None = None):
+    """n_rows x n_cols matrix, uniform on [0, 1)."""
+    drawn = uniform_for(spark.range(0, n_rows, 1, partitions), "id", n_cols, seed)
+    return drawn.replace(drawn.base, drawn.cells, n_rows=n_rows)
+
+
+def random_normal(spark: SparkSession, n_rows: int, n_cols: int, seed: int = 0, partitions: int | None = None):
+    """n_rows x n_cols matrix of standard normals."""
+    drawn = normal_for(spark.range(0, n_rows, 1, partitions), "id", n_cols, seed)
+    return drawn.replace(drawn.base, drawn.cells, n_rows=n_rows)

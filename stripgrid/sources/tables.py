@@ -70,17 +70,17 @@ def from_strips(strips: DataFrame, n_cols: int | None = None) -> RowMatrix:
         first = strips.filter("n_rows > 0").select("n_cols").head()
         n_cols = 0 if first is None else first.n_cols
     directory = running_start(strips.select("strip_id", "n_rows"), "strip_id", "n_rows", "start_row")
-    fits = (F.col("n_rows") == 0) | (F.col("n_cols") == n_cols)
+    fits = F.col("n_cols") == n_cols
     rows = F.transform(
         F.sequence(F.lit(0), F.col("n_rows") - 1),
         lambda r: F.slice(F.col("vals"), r * F.col("n_cols") + 1, F.col("n_cols")),
     )
-    checked = F.when(fits, rows).otherwise(
+    none = F.array().cast("array<array<double>>")
+    checked = F.when(F.col("n_rows") == 0, none).when(fits, rows).otherwise(
         F.raise_error(F.lit(f"every strip must have {n_cols} columns")).cast("array<array<double>>")
     )
     base = (
-        strips.filter("n_rows > 0")
-        .join(directory.select("strip_id", "start_row"), "strip_id")
+        strips.join(directory.select("strip_id", "start_row"), "strip_id")
         .select("start_row", F.posexplode(checked).alias("offset", "vec"))
         .select((F.col("start_row") + F.col("offset")).alias("row_id"), "vec")
     )
