@@ -31,6 +31,12 @@ def ridge_from_gram(gram: np.ndarray, cross: np.ndarray, lam: float) -> np.ndarr
     return solve_named(gram + lam * np.eye(len(gram)), cross, lam)
 
 
+def has_dependent_column(r: np.ndarray) -> bool:
+    """True when a diagonal entry of R is at rounding level next to its own column (whatever the column's scale)."""
+    sizes = np.linalg.norm(r, axis=0)
+    return bool(np.any(np.abs(np.diagonal(r)) <= len(r) * np.finfo(float).eps * sizes))
+
+
 def ridge_from_r(r: np.ndarray, n: int, lam: float) -> np.ndarray:
     """Minimise ||Ax-b||^2 + lam ||x||^2 from the R factor of [A | b]."""
     if lam < 0:
@@ -39,7 +45,7 @@ def ridge_from_r(r: np.ndarray, n: int, lam: float) -> np.ndarray:
         penalty = np.zeros((n, r.shape[1]))
         np.fill_diagonal(penalty, np.sqrt(lam))
         r = positive_r(np.vstack([r, penalty]))
-    if len(r) < n or np.any(np.diagonal(r)[:n] == 0.0):
+    if len(r) < n or has_dependent_column(r[:n, :n]):
         raise ValueError(f"singular least-squares system for lambda={lam}; use a positive penalty")
     return solve_named(r[:n, :n], r[:n, n:], lam)
 

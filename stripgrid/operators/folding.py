@@ -146,4 +146,6 @@ def tree_levels(parallelism: int) -> list[int]:
     while tasks > FAN_IN:
         levels.append(tasks)
         tasks = -(-tasks // FAN_IN)
+    if levels and tasks > 1:
+        levels.append(tasks)
     return levels + [1]
