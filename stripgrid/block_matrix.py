@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
@@ -17,18 +18,44 @@ from .row_matrix import INT_MAX, RowMatrix, bounds, reciprocal
 POSITION = ["block_row", "block_col", "row_start", "col_start", "n_rows", "n_cols"]
 
 
+@dataclass(frozen=True)
+class Steps:
+    """Block boundaries along one direction: a first block of ``lead`` lines, then blocks of ``size`` lines."""
+
+    lead: int
+    size: int
+
+    def start(self, block: int) -> int:
+        return 0 if block == 0 else self.lead + (block - 1) * self.size
+
+    def block_of(self, line: int) -> int:
+        return 0 if line < self.lead else 1 + (line - self.lead) // self.size
+
+    def after(self, line: int) -> Steps:
+        """Boundaries of what is left when everything before ``line`` is cut off."""
+        return Steps(self.start(self.block_of(line) + 1) - line, self.size)
+
+
 class BlockMatrix:
     """Handle over ``(block_row, block_col, row_start, col_start, n_rows, n_cols, vals)``; ``vals`` is row-major.
 
     Every block carries its own position, so slices are filters that reach the scan and need no block directory.
+    ``steps`` states regular boundaries (rows, columns) when they are known; renumbering is then arithmetic.
     """
 
-    def __init__(self, df: DataFrame, dim: tuple[int, int] | None = None):
+    def __init__(
+        self, df: DataFrame, dim: tuple[int, int] | None = None, steps: tuple[Steps | None, Steps | None] = (None, None)
+    ):
         self.df = df.select(*POSITION, "vals")
         self._dim = dim
+        self.row_steps, self.col_steps = steps
+
+    @property
+    def steps(self) -> tuple[Steps | None, Steps | None]:
+        return self.row_steps, self.col_steps
 
     def with_vals(self, vals: Column) -> BlockMatrix:
-        return BlockMatrix(self.df.select(*POSITION, vals.alias("vals")))
+        return BlockMatrix(self.df.select(*POSITION, vals.alias("vals")), self._dim, self.steps)
 
     # -- shape -------------------------------------------------------------------------------------------
 
@@ -107,7 +134,7 @@ class BlockMatrix:
             F.raise_error(F.lit("cannot combine matrices with unequal blocks")).cast("array<double>")
         )
         joined = self.df.join(right, ["block_row", "block_col"], "full_outer")
-        return BlockMatrix(joined.select(*POSITION, vals.alias("vals")))
+        return BlockMatrix(joined.select(*POSITION, vals.alias("vals")), self._dim, self.steps)
 
     # -- selection ---------------------------------------------------------------------------------------
 
@@ -128,14 +155,15 @@ class BlockMatrix:
         sliced = F.slice("vals", F.col("low") * F.col("n_cols") + 1, F.col("height") * F.col("n_cols"))
         return BlockMatrix(
             cut.select(
-                (F.col("block_row") - _least(kept, "block_row")).alias("block_row"),
+                (F.col("block_row") - _first(kept, "block_row", self.row_steps, start)).alias("block_row"),
                 "block_col",
                 F.greatest(F.col("row_start") - start, F.lit(0)).cast("bigint").alias("row_start"),
                 "col_start",
                 F.col("height").alias("n_rows"),
                 "n_cols",
                 F.when(F.col("height") == F.col("n_rows"), F.col("vals")).otherwise(sliced).alias("vals"),
-            ).filter("n_rows > 0")
+            ).filter("n_rows > 0"),
+            steps=(self.row_steps.after(start) if self.row_steps else None, self.col_steps),
         )
 
     def _columns(self, cols: slice) -> BlockMatrix:
@@ -158,13 +186,14 @@ class BlockMatrix:
         return BlockMatrix(
             cut.select(
                 "block_row",
-                (F.col("block_col") - _least(kept, "block_col")).alias("block_col"),
+                (F.col("block_col") - _first(kept, "block_col", self.col_steps, start)).alias("block_col"),
                 "row_start",
                 F.greatest(F.col("col_start") - start, F.lit(0)).cast("bigint").alias("col_start"),
                 "n_rows",
                 F.col("width").alias("n_cols"),
                 "vals",
-            ).filter("n_cols > 0")
+            ).filter("n_cols > 0"),
+            steps=(self.row_steps, self.col_steps.after(start) if self.col_steps else None),
         )
 
     def block_range(self, row_from: int, row_to: int, col_from: int, col_to: int) -> BlockMatrix:
@@ -179,12 +208,16 @@ class BlockMatrix:
             kept.select(
                 (F.col("block_row") - row_from).alias("block_row"),
                 (F.col("block_col") - col_from).alias("block_col"),
-                (F.col("row_start") - _least(kept, "row_start")).alias("row_start"),
-                (F.col("col_start") - _least(kept, "col_start")).alias("col_start"),
+                (F.col("row_start") - _origin(kept, "row_start", self.row_steps, row_from)).alias("row_start"),
+                (F.col("col_start") - _origin(kept, "col_start", self.col_steps, col_from)).alias("col_start"),
                 "n_rows",
                 "n_cols",
                 "vals",
-            )
+            ),
+            steps=(
+                self.row_steps.after(self.row_steps.start(row_from)) if self.row_steps else None,
+                self.col_steps.after(self.col_steps.start(col_from)) if self.col_steps else None,
+            ),
         )
 
     def col_block(self, block_col: int, width: int | None = None) -> RowMatrix:
@@ -279,6 +312,16 @@ def block_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def _first(kept: DataFrame, name: str, steps: Steps | None, line: int) -> Column:
+    """Id of the first kept block."""
+    return F.lit(steps.block_of(line)).cast("int") if steps else _least(kept, name)
+
+
+def _origin(kept: DataFrame, name: str, steps: Steps | None, block: int) -> Column:
+    """Position of the first kept line."""
+    return F.lit(steps.start(block)).cast("bigint") if steps else _least(kept, name)
+
+
 def _least(df: DataFrame, name: str) -> Column:
     """Smallest value of a position column as a scalar subquery; reads positions only."""
     return df.select(F.min(name).alias("least")).scalar()

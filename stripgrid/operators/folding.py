@@ -134,13 +134,15 @@ def merge_tree(partials: DataFrame, fold) -> DataFrame:
             yield from keyed_rows({"part": part, "key": k}, state)
 
     for tasks in tree_levels(partials.sparkSession.sparkContext.defaultParallelism):
+        # Without a fixed number of partitions, adaptive execution joins small ones by their measured size.
+        grouped = partials.repartition(F.col("part") % F.lit(tasks)) if tasks > 1 else partials.repartition(1)
         # The sort fixes the order in which partials are added, hence the last bits of the result.
-        grouped = partials.repartition(tasks, F.col("part") % F.lit(tasks)) if tasks > 1 else partials.repartition(1)
         partials = grouped.sortWithinPartitions("key", "part", "i").mapInArrow(merge, PARTIAL_SCHEMA)
     return partials.drop("part")
 
 
 def tree_levels(parallelism: int) -> list[int]:
+    """Numbers of merge groups per level; each is at most FAN_IN times the next."""
     levels = []
     tasks = parallelism
     while tasks > FAN_IN:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import matrix_of, matrix_to_lists
 from ..functions.dense import gradient_steps, positive_r, ridge_from_gram, ridge_from_r
-from ..layout import LOCAL_WIDTH, Cells, Packed, Wide
+from ..functions.monoids import monoid
+from ..layout import LOCAL_WIDTH, NARROW, Cells, Packed, Wide
 from ..operators.folding import ColumnReduce, fold_rows
-from ..operators.products import gram_rows, times_local
+from ..operators.products import GENERATED_PRODUCT, gram_rows, product_items, times_local
 from ..row_matrix import RowMatrix
 from ..sources.random import keyed_uniform
 from ..sources.tables import from_columns
@@ -127,13 +128,16 @@ class Solver:
         k = system.n_targets
         if residuals.width != k * len(lams):
             raise ValueError(f"expected {k * len(lams)} residual columns, got {residuals.width}")
-        b = system.b.array()
-        shifted = [
-            F.zip_with(b, F.slice(residuals.array(), t * k + 1, k), lambda x, y: x - y) for t in range(len(lams))
-        ]
         keep = [F.col(system.key)] if system.key else []
-        base = system.base.select(*keep, *system.a.columns(), F.concat(*shifted).alias("shifted"))
-        moved = System(base, system.a, Packed("shifted", residuals.width), system.key)
+        if residuals.width <= NARROW:
+            b, offsets = system.b.items(), residuals.items()
+            shifted = [(b[c % k] - offsets[c]).alias(f"_shifted{c}") for c in range(residuals.width)]
+            cells: Cells = Wide(tuple(f"_shifted{c}" for c in range(residuals.width)))
+        else:
+            pieces = [F.slice(residuals.array(), t * k + 1, k) for t in range(len(lams))]
+            gaps = [F.zip_with(system.b.array(), piece, lambda x, y: x - y) for piece in pieces]
+            shifted, cells = [F.concat(*gaps).alias("_shifted")], Packed("_shifted", residuals.width)
+        moved = System(system.base.select(*keep, *system.a.columns(), *shifted), system.a, cells, system.key)
         return self._solve(moved, list(lams), [range(t * k, (t + 1) * k) for t in range(len(lams))])
 
     def _solve(self, system: System, lams: list[float], columns: list[range]) -> DataFrame:
@@ -302,10 +306,14 @@ def solution_array(solution: DataFrame, n: int, k: int = 1) -> np.ndarray:
 def residual_norm(system: System, x: np.ndarray) -> DataFrame:
     """One row ``(value)`` = ||b - A x||_F, in one pass."""
     x = np.asarray(x, dtype=np.float64).reshape(system.n_cols, system.n_targets)
-    predicted = times_local(system.base, system.a, x, system.b.fields(), "_ax")
-    squares = F.aggregate(
-        F.zip_with(system.b.array(), F.col("_ax"), lambda y, z: (y - z) * (y - z)), F.lit(0.0), lambda s, v: s + v
-    )
+    if x.size <= GENERATED_PRODUCT:
+        predicted = system.base
+        gaps = [y - z for y, z in zip(system.b.items(), product_items(system.a, x))]
+        squares = monoid("sum").of_items([gap * gap for gap in gaps])
+    else:
+        predicted = times_local(system.base, system.a, x, system.b.fields(), "_ax")
+        gaps = F.zip_with(system.b.array(), F.col("_ax"), lambda y, z: (y - z) * (y - z))
+        squares = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap)
     return predicted.agg(F.sqrt(F.coalesce(F.sum(squares), F.lit(0.0))).alias("value"))
 
 

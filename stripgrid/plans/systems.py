@@ -107,14 +107,16 @@ def accuracy_report(systems: SystemSet, solvers: dict[str, Solver] | None = None
     }
     n, k = systems.n_cols, systems.n_targets
     a, b = Packed("vec", n), Packed("b", k)
+    factors = dict(_collect_keyed(QrTree().summarize_keyed(systems.frame, [a, b], "system_id"), n + k))
     solutions: dict[tuple[str, int], np.ndarray] = {}
     for name, solver in solvers.items():
         solver.check(k)
-        for system_id, square in _collect_keyed(
-            solver.summarize_keyed(systems.frame, [a, b], "system_id"), solver.summary_width(n, k)
-        ):
+        squares = factors
+        if not isinstance(solver, QrTree):
+            summary = solver.summarize_keyed(systems.frame, [a, b], "system_id")
+            squares = dict(_collect_keyed(summary, solver.summary_width(n, k)))
+        for system_id, square in squares.items():
             solutions[name, system_id] = solver.local_or_nan(square, n)
-    factors = dict(_collect_keyed(QrTree().summarize_keyed(systems.frame, [a, b], "system_id"), n + k))
     residuals = _residuals(systems, list(solvers), solutions)
     rows = []
     for name in solvers:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..block_matrix import BlockMatrix
+from ..block_matrix import BlockMatrix, Steps
 from ..functions.prefix import running_start
 from ..row_matrix import RowMatrix
 
@@ -38,7 +38,8 @@ def to_grid(matrix: RowMatrix, rows_per_block: int, cols_per_block: int) -> Bloc
             F.size("rows").alias("n_rows"),
             F.size(F.col("rows")[0]["piece"]).alias("n_cols"),
             F.flatten("rows.piece").alias("vals"),
-        )
+        ),
+        steps=(Steps(r, r), Steps(c, c)),
     )
 
 

@@ -54,13 +54,19 @@ def from_arrays(
         first = df.select(F.size(quoted(column)).alias("n")).head()
         n_cols = 0 if first is None else first.n
     vec = quoted(column).cast("array<double>")
-    good = (F.size(vec) == n_cols) & ~F.exists(vec, lambda x: x.isNull())
     problem = F.raise_error(F.lit(f"every row of {column} must hold {n_cols} numbers")).cast("array<double>")
     key = [quoted(row_id).cast("bigint").alias("row_id")] if row_id else []
-    base = df.select(*key, F.when(good, vec).otherwise(problem).alias("vec"))
+    base = df.select(*key, F.when((F.size(vec) == n_cols) & ~_has_null(vec), vec).otherwise(problem).alias("vec"))
     return RowMatrix(base, Packed("vec", n_cols), "row_id" if row_id else None, n_rows)
 
 
+def _has_null(vec: Column) -> Column:
+    """NULL among the elements. array_contains is compiled and answers NULL exactly when it finds no match but a
+    NULL, so the slower look at each element is left to the rare rows that hold an infinity."""
+    found = F.array_contains(vec, F.lit(float("inf")))
+    return found.isNull() | (found & F.exists(vec, lambda x: x.isNull()))
+
+
 def from_strips(strips: DataFrame, n_cols: int | None = None) -> RowMatrix:
     """Matrix from ready-made strips ``(strip_id, n_rows, n_cols, vals)`` with row-major values, stacked by id.
 

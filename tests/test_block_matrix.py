@@ -169,3 +169,15 @@ def test_merge_tree_has_bounded_fan_in():
         levels = tree_levels(parallelism)
         assert levels[-1] == 1
         assert all(a <= 32 * b for a, b in zip(levels, levels[1:]))
+
+
+def test_slices_without_known_boundaries_agree(spark):
+    grid = grid_of(spark, ARRAY, 5, 4)
+    loose = from_blocks(grid.df.select("block_row", "block_col", "n_rows", "n_cols", "vals"))
+    assert grid.row_steps is not None and loose.row_steps is None
+    for rows, cols in [(slice(3, 17), slice(3, 9)), (slice(10, 12), slice(None))]:
+        known, found = grid[rows, cols], loose[rows, cols]
+        order = ["block_row", "block_col"]
+        assert known.directory().orderBy(*order).collect() == found.directory().orderBy(*order).collect()
+    again, loosely = grid[3:20, 2:10][4:15, 1:7].block_range(1, 3, 0, 2), loose[3:20, 2:10][4:15, 1:7].block_range(1, 3, 0, 2)
+    assert np.array_equal(again.to_local(), loosely.to_local())
