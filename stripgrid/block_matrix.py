@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions.monoids import monoid
 from .layout import Packed, Wide
 from .operators import block_reductions
+from .operators.reductions import root_of_squares
 from .row_matrix import INT_MAX, RowMatrix, bounds, reciprocal
 
 POSITION = ["block_row", "block_col", "row_start", "col_start", "n_rows", "n_cols"]
@@ -263,8 +264,8 @@ class BlockMatrix:
         return self.norm_frame().head()[0]
 
     def norm_frame(self) -> DataFrame:
-        squares = F.aggregate("vals", F.lit(0.0), lambda total, x: total + x * x)
-        return self.df.agg(F.sqrt(F.coalesce(F.sum(squares), F.lit(0.0))).alias("value"))
+        """One row ``(value)``: Frobenius norm."""
+        return root_of_squares(self.df, Packed("vals", 0))
 
     # -- storage -----------------------------------------------------------------------------------------
 

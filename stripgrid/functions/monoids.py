@@ -16,10 +16,8 @@ class Monoid:
     combine: Callable[[Column, Column], Column]
     aggregate: Callable[[Column], Column]
     ufunc: np.ufunc
-
-    def of_array(self, values: Column) -> Column:
-        """Reduce one array value."""
-        return F.reduce(values, F.lit(self.identity), self.combine)
+    # Compiled function over one array, where Spark has one.
+    of_array: Callable[[Column], Column] | None = None
 
     def of_items(self, items: list[Column]) -> Column:
         """Reduce several columns of one row."""
@@ -32,8 +30,8 @@ class Monoid:
 MONOIDS = {
     "sum": Monoid(0.0, lambda a, x: a + x, F.sum, np.add),
     "prod": Monoid(1.0, lambda a, x: a * x, F.product, np.multiply),
-    "min": Monoid(float("inf"), lambda a, x: F.least(a, x), F.min, np.minimum),
-    "max": Monoid(float("-inf"), lambda a, x: F.greatest(a, x), F.max, np.maximum),
+    "min": Monoid(float("inf"), lambda a, x: F.least(a, x), F.min, np.minimum, F.array_min),
+    "max": Monoid(float("-inf"), lambda a, x: F.greatest(a, x), F.max, np.maximum, F.array_max),
 }
 
 

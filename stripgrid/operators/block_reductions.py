@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.monoids import Monoid, monoid
 from ..layout import VECTOR, Packed
 from .folding import ColumnReduce, fold_rows
+from .reductions import reduce_values
 
 
 def by_row(df: DataFrame, op) -> DataFrame:
     """Blocks of the n x 1 result; partials of one block row are combined element by element."""
+    keys = ["block_row", "row_start", "n_rows"]
     if isinstance(op, str):
         reducer = monoid(op)
-        local = df.select("block_row", "row_start", "n_rows", _rows_of_block(reducer).alias("part"))
+        partials = _local_ufunc(df, reducer.ufunc, axis=1).select(*keys, F.posexplode("part").alias("pos", "x"))
+        combined = _combine(partials, keys, reducer)
     else:
-        reducer = None
-        local = _local_ufunc(df, op, axis=1)
-    combined = _combine(local, ["block_row", "row_start", "n_rows"], reducer, op)
+        combined = _combine_ufunc(_local_ufunc(df, op, axis=1), keys, op)
     return combined.select(
         "block_row",
         F.lit(0).alias("block_col"),
@@ -33,12 +34,11 @@ def by_row(df: DataFrame, op) -> DataFrame:
 
 
 def by_column(df: DataFrame, op) -> DataFrame:
-    """Blocks of the 1 x m result."""
-    position = ["block_col", "col_start", "n_cols"]
+    """Blocks of the 1 x m result. Named reducers are added up in each task before anything is shuffled."""
     if isinstance(op, str):
-        reducer = monoid(op)
-        local = df.select(*position, _columns_of_block(reducer).alias("part"))
-        combined = _combine(local, position, reducer, op)
+        keys = ["block_col", "col_start", "n_cols"]
+        cells = df.select(*keys, F.posexplode("vals").alias("at", "x"))
+        combined = _combine(cells.select(*keys, (F.col("at") % F.col("n_cols")).alias("pos"), "x"), keys, monoid(op))
     else:
         combined = _columns_ufunc(df, op)
     return combined.select(
@@ -55,36 +55,15 @@ def by_column(df: DataFrame, op) -> DataFrame:
 def of_all(df: DataFrame, op) -> DataFrame:
     """One row ``(value)``."""
     if isinstance(op, str):
-        reducer = monoid(op)
-        return df.agg(reducer.aggregate(reducer.of_array(F.col("vals"))).alias("value"))
+        return reduce_values(df, Packed("vals", 0), monoid(op))
     local = _local_ufunc(df, op, axis=None)
     reduced = fold_rows(local, [Packed("part", 1)], ColumnReduce(op))
     return reduced.select(F.col("vec")[0].alias("value"))
 
 
-def _rows_of_block(reducer: Monoid) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.col("n_rows") - 1),
-        lambda r: reducer.of_array(F.slice(F.col("vals"), r * F.col("n_cols") + 1, F.col("n_cols"))),
-    )
-
-
-def _columns_of_block(reducer: Monoid) -> Column:
-    return F.aggregate(
-        F.sequence(F.lit(0), F.col("n_rows") - 1),
-        F.array_repeat(F.lit(reducer.identity), F.col("n_cols")),
-        lambda total, r: F.zip_with(
-            total, F.slice(F.col("vals"), r * F.col("n_cols") + 1, F.col("n_cols")), reducer.combine
-        ),
-    )
-
-
-def _combine(local: DataFrame, keys: list[str], reducer: Monoid | None, op) -> DataFrame:
-    """Element-wise over the ``part`` arrays that share ``keys``; rebuilt in order, one block's worth per list."""
-    if reducer is None:
-        return _combine_ufunc(local, keys, op)
-    cells = local.select(*keys, F.posexplode("part").alias("pos", "x"))
-    totals = cells.groupBy(*keys, "pos").agg(reducer.aggregate(F.col("x")).alias("x"))
+def _combine(partials: DataFrame, keys: list[str], reducer: Monoid) -> DataFrame:
+    """Reduce ``x`` per position, then put the positions of one block back in order (one block's worth per list)."""
+    totals = partials.groupBy(*keys, "pos").agg(reducer.aggregate(F.col("x")).alias("x"))
     lists = totals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("pairs"))
     return lists.select(*keys, F.col("pairs.x").alias("vals"))
 

@@ -311,9 +311,10 @@ def residual_norm(system: System, x: np.ndarray) -> DataFrame:
         gaps = [y - z for y, z in zip(system.b.items(), product_items(system.a, x))]
         squares = monoid("sum").of_items([gap * gap for gap in gaps])
     else:
-        predicted = times_local(system.base, system.a, x, system.b.fields(), "_ax")
-        gaps = F.zip_with(system.b.array(), F.col("_ax"), lambda y, z: (y - z) * (y - z))
-        squares = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap)
+        pairs = times_local(system.base, system.a, x, system.b.fields(), "_ax")
+        predicted = pairs.select(F.explode(F.arrays_zip(system.b.array().alias("b"), "_ax")).alias("pair"))
+        gap = F.col("pair.b") - F.col("pair._ax")
+        squares = gap * gap
     return predicted.agg(F.sqrt(F.coalesce(F.sum(squares), F.lit(0.0))).alias("value"))
 
 

@@ -1,10 +1,15 @@
 """Matrices from NumPy arrays, spread over several partitions in shuffled order."""
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 
 from stripgrid.sources.grids import to_grid
 from stripgrid.sources.tables import from_arrays, from_columns
 
+# An error raised inside a query; Spark wraps it when two stages fail at once.
+RUN_ERRORS = (PySparkException, Py4JJavaError)
+
 M1 = np.array([[1, 2, 3], [1, 9, -1], [0, 0, 1], [0, 1, 0]], dtype=float)
 M2 = np.array([[1, 2, 3], [1, 9, -1], [1, 0, 1], [1618, 1, 4]], dtype=float)
 M3 = np.array([[1, 2, 1], [1, 9, -1], [1, 0, 1], [7, 1, 1618]], dtype=float)

@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
-from helpers import ridge, rows_of
-from pyspark.errors import PySparkException
+from helpers import RUN_ERRORS, ridge, rows_of
 
 from stripgrid.plans import block_descent
 from stripgrid.plans.block_descent import BlockCoordinateDescent
@@ -117,5 +116,5 @@ def test_one_pass_never_makes_the_residual_larger(spark):
 def test_blocks_must_have_the_rows_of_b(spark, blocks):
     _, b, _, _ = blocks
     short = rows_of(spark, np.ones((150, 2)))
-    with pytest.raises(PySparkException, match="same rows"):
+    with pytest.raises(RUN_ERRORS, match="same rows"):
         BlockCoordinateDescent(NormalEquations(), 1).solve([short], b, [1.0], route="streaming")

@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
-from helpers import M1, M3, grid_of, positive, rows_of
-from pyspark.errors import PySparkException
+from helpers import M1, M3, RUN_ERRORS, grid_of, positive, rows_of
 from pyspark.sql import functions as F
 
 from stripgrid.operators.folding import tree_levels
@@ -64,7 +63,7 @@ def test_addition(spark):
     assert np.allclose((grid + grid * 2).to_local(), 3 * ARRAY)
     assert np.array_equal((grid - grid).to_local(), 0 * ARRAY)
     for other in (grid_of(spark, ARRAY, 5, 3), grid_of(spark, ARRAY[:20], 5, 4)):
-        with pytest.raises(PySparkException, match="unequal blocks"):
+        with pytest.raises(RUN_ERRORS, match="unequal blocks"):
             (grid + other).to_local()
     with pytest.raises(TypeError):
         grid + rows_of(spark, ARRAY)
@@ -124,7 +123,7 @@ def test_blocks_of_any_size(spark):
         (1, 1),
     }
     uneven = blocks.withColumn("n_rows", F.when(F.col("block_col") == 5, 7).otherwise(F.col("n_rows")))
-    with pytest.raises(PySparkException, match="must have the same n_rows"):
+    with pytest.raises(RUN_ERRORS, match="must have the same n_rows"):
         from_blocks(uneven).to_local()
 
 

@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
-from helpers import M1, M2, M4, rows_of, wide_of
-from pyspark.errors import PySparkException
+from helpers import M1, M2, M4, RUN_ERRORS, rows_of, wide_of
 from pyspark.sql import functions as F
 
 from stripgrid.layout import Wide
@@ -111,7 +110,7 @@ def test_matrix_plus_and_minus(spark):
 def test_addition_finds_missing_rows_while_running(spark):
     left = rows_of(spark, M1)
     right = left.replace(left.base.filter("row_id != 2"), left.cells, n_rows=None)
-    with pytest.raises(PySparkException, match="unequal size"):
+    with pytest.raises(RUN_ERRORS, match="unequal size"):
         (left + right).to_local()
 
 
@@ -182,12 +181,12 @@ def test_dims_and_length(spark):
 def test_nulls_and_types(spark):
     frame = spark.createDataFrame([(0, 1.0), (1, None)], "row_id bigint, x double")
     assert from_columns(frame, ["x"], "row_id", nulls="zero").to_local().tolist() == [[1.0], [0.0]]
-    with pytest.raises(PySparkException, match="NULL in matrix column x"):
+    with pytest.raises(RUN_ERRORS, match="NULL in matrix column x"):
         from_columns(frame, ["x"], "row_id").to_local()
     with pytest.raises(ValueError, match="DOUBLE"):
         from_columns(frame.withColumn("x", F.col("x").cast("int")), ["x"], "row_id")
     ragged = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "row_id bigint, v array<double>")
-    with pytest.raises(PySparkException, match="must hold 2 numbers"):
+    with pytest.raises(RUN_ERRORS, match="must hold 2 numbers"):
         from_arrays(ragged, "v", "row_id", n_cols=2).to_local()
     with pytest.raises(ValueError, match="row identity"):
         from_columns(frame.select(F.lit(1.0).alias("x")), ["x"]).to_long()
