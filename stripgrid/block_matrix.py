@@ -229,6 +229,23 @@ class BlockMatrix:
             width = 0 if first is None else first.n_cols
         return RowMatrix(block_rows(kept).select("row_id", "vec"), Packed("vec", width))
 
+    def to_rows(self) -> RowMatrix:
+        """Rows put together from their blocks; blocks that are not stored count as zero.
+
+        One group holds the pieces of one row, so its size is the width of the matrix.
+        """
+        panels = self.column_panels()
+        pieces = block_rows(self.df).groupBy("row_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("block_col", "vec"))).alias("pieces")
+        )
+        order = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(width).alias("width")) for c, _, width in panels])
+        filled = F.transform(
+            order,
+            lambda p: F.coalesce(F.try_element_at("pieces", p["c"]), F.array_repeat(F.lit(0.0), p["width"])),
+        )
+        rows = pieces.select("row_id", F.flatten(filled).alias("vec"))
+        return RowMatrix(rows, Packed("vec", sum(width for _, _, width in panels)))
+
     # -- reductions --------------------------------------------------------------------------------------
 
     def reduce_row_elements(self, op) -> BlockMatrix:

@@ -333,6 +333,7 @@ ORACLES: dict[str, str] = {
         "(SELECT " + ", ".join(f"embedding[{j + 1}]::DOUBLE AS f{j}" for j in range(6)) + " FROM embeddings)",
         8,
     ).replace("{i_type}", "BIGINT"),
+    "block_to_rows": cells_of(CELLS, "value"),
     "lsq_normal": ridge(["one", "qty", "disc"], ["price"], LINES, [0.0]),
     "lsq_tsqr": ridge(["one", "qty", "disc"], ["price"], LINES, [0.0]),
     "ridge_normal": ridge(["one", "qty", "disc"], ["price"], LINES, LAMBDAS),
@@ -372,6 +373,8 @@ ORACLES: dict[str, str] = {
         (1e15::DOUBLE)) AS c(condition)""",
 }
 
+ORACLES["block_qr_gram"] = ORACLES["gram_wide"]
+
 _FOLDS = {"sum": "sum", "prod": "product", "min": "min", "max": "max"}
 
 for _op, _fold in _FOLDS.items():

@@ -566,6 +566,18 @@ def block_qr_r(spark, folder):
     return rounded(grid.qr_r().to_long().filter("j >= i"), 8)
 
 
+@query
+def block_qr_gram(spark, folder):
+    """R'R for the R of all columns. R is upper triangular with a positive diagonal, so R'R = A'A settles it."""
+    r = to_grid(embedding_matrix(spark, folder), 100, 16).qr_r()
+    return rounded(r.to_rows().gram(), 7)
+
+
+@query
+def block_to_rows(spark, folder):
+    return embedding_grid(spark, folder).to_rows().to_long()
+
+
 # -- solvers -------------------------------------------------------------------------------------------------
 
 
@@ -661,6 +673,14 @@ def sgd_mini_batch(spark, folder):
     return rounded(solver.solve_many_l2(system, [0.0, 0.1]), 9, "x")
 
 
+@query
+def sgd_mini_batch_wide(spark, folder):
+    """Sampled steps on a matrix too wide for compiled sums."""
+    matrix = embedding_matrix(spark, folder)
+    solver = GradientDescent(5, 0.5, batch_fraction=0.5)
+    return rounded(solver.solve_l2(System.align(matrix[:, 1:64], matrix[:, 0:1]), 0.1), 9, "x")
+
+
 @query
 def sgd_by_steps(spark, folder):
     """The route for very wide matrices: one gradient pass per step."""

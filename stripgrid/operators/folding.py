@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ WIDE_PARTIAL = 256
 class RFactor:
     """R of the rows seen so far; the R of stacked R factors is the R of all the rows."""
 
+    width: int
+
+    @property
+    def gather(self) -> int:
+        """Rows to gather before factoring, so that carrying the previous R along stays cheap."""
+        return 2 * self.width
+
     def start(self, rows: np.ndarray) -> np.ndarray:
         return positive_r(rows)
 
@@ -44,6 +52,7 @@ class Gram:
     """Sum of outer products of the rows."""
 
     width: int
+    gather = 1
 
     def start(self, rows: np.ndarray) -> np.ndarray:
         return rows.T @ rows
@@ -63,6 +72,7 @@ class ColumnReduce:
     """One row holding op over each column, for any associative and commutative NumPy ufunc."""
 
     op: np.ufunc
+    gather = 1
 
     def start(self, rows: np.ndarray) -> np.ndarray:
         return self.op.reduce(rows, axis=0)[None, :]
@@ -83,14 +93,45 @@ def check_width(width: int, what: str) -> None:
 
 
 def _split_by_key(batch: pa.RecordBatch, rows: np.ndarray, key: str | None):
+    """(key, rows) pairs. ``key`` is an INT column, or an ARRAY<INT> column when a row counts for several keys."""
     if key is None:
         return [(0, rows)]
-    keys = batch.column(key).to_numpy(zero_copy_only=False)
+    column = batch.column(key)
+    if pa.types.is_list(column.type):
+        owners, keys = pc.list_parent_indices(column).to_numpy(), column.flatten().to_numpy()
+        return [(int(k), rows[owners[keys == k]]) for k in np.unique(keys)]
+    keys = column.to_numpy(zero_copy_only=False)
     return [(int(k), rows[keys == k]) for k in np.unique(keys)]
 
 
+class _Folder:
+    """Folds of one task, by key; short batches are gathered before they are folded in."""
+
+    def __init__(self, fold):
+        self.fold = fold
+        self.states: dict[int, np.ndarray] = {}
+        self.waiting: dict[int, list[np.ndarray]] = {}
+
+    def take(self, key: int, rows: np.ndarray) -> None:
+        waiting = self.waiting.setdefault(key, [])
+        waiting.append(rows)
+        if sum(len(piece) for piece in waiting) >= self.fold.gather:
+            self.flush(key)
+
+    def flush(self, key: int) -> None:
+        pieces = self.waiting.pop(key)
+        rows = pieces[0] if len(pieces) == 1 else np.vstack(pieces)
+        state = self.states.get(key)
+        self.states[key] = self.fold.start(rows) if state is None else self.fold.add(state, rows)
+
+    def finish(self) -> dict[int, np.ndarray]:
+        for key in list(self.waiting):
+            self.flush(key)
+        return self.states
+
+
 def fold_rows(frame: DataFrame, parts: list[Cells], fold, key: str | None = None) -> DataFrame:
-    """Fold all rows (per ``key``, an INT column with few distinct values) into one small matrix.
+    """Fold all rows (per ``key``, with few distinct values) into one small matrix.
 
     Returns ``(key, i, vec)`` in a single partition.
     """
@@ -102,14 +143,13 @@ def fold_rows(frame: DataFrame, parts: list[Cells], fold, key: str | None = None
         fields = fields.coalesce(4 * frame.sparkSession.sparkContext.defaultParallelism)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: dict[int, np.ndarray] = {}
+        folder = _Folder(fold)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            for k, rows in _split_by_key(batch, matrix_of(batch, parts), key):
-                states[k] = fold.add(states[k], rows) if k in states else fold.start(rows)
+            if batch.num_rows:
+                for k, rows in _split_by_key(batch, matrix_of(batch, parts), key):
+                    folder.take(k, rows)
         part = TaskContext.get().partitionId()
-        for k, state in states.items():
+        for k, state in folder.finish().items():
             yield from keyed_rows({"part": part, "key": k}, state)
 
     return merge_tree(fields.mapInArrow(partial, PARTIAL_SCHEMA), fold)

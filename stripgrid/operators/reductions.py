@@ -138,7 +138,10 @@ def fold_elements(
 
     states = matrix.base.select(*cells.columns()).mapInArrow(partial, schema)
     for tasks in tree_levels(spark.sparkContext.defaultParallelism):
-        states = states.repartition(tasks).mapInArrow(merge, schema)
+        spread = states.repartition(1)
+        if tasks > 1:
+            spread = states.withColumn("_part", F.spark_partition_id() % tasks).repartition("_part").drop("_part")
+        states = spread.mapInArrow(merge, schema)
     return states
 
 

@@ -25,6 +25,8 @@ _SUMS = "block_col int, s array<double>"
 class _AddRows:
     """Sum of equally shaped small matrices that arrive row by row."""
 
+    gather = 1
+
     def merge(self, state: np.ndarray | None, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
         height = int(index.max()) + 1
         total = np.zeros((max(height, 0 if state is None else len(state)), rows.shape[1]))

@@ -17,8 +17,8 @@ from ..functions.arrow import matrix_of, matrix_to_lists
 from ..functions.dense import gradient_steps, positive_r, ridge_from_gram, ridge_from_r
 from ..functions.monoids import monoid
 from ..layout import LOCAL_WIDTH, NARROW, Cells, Packed, Wide
-from ..operators.folding import ColumnReduce, fold_rows
-from ..operators.products import GENERATED_PRODUCT, gram_rows, product_items, times_local
+from ..operators.folding import ColumnReduce, Gram, fold_rows
+from ..operators.products import GENERATED_GRAM, GENERATED_PRODUCT, gram_rows, product_items, times_local
 from ..row_matrix import RowMatrix
 from ..sources.random import keyed_uniform
 from ..sources.tables import from_columns
@@ -47,17 +47,29 @@ class System:
 
     @classmethod
     def align_many(cls, blocks: Sequence[RowMatrix], b: RowMatrix) -> System:
-        """Column blocks of A and b, joined on ``row_id`` into one table."""
-        joined = b.base.select(F.col(b.require_key()).alias("row_id"), b.cells.array().alias("b"))
-        for p, block in enumerate(blocks):
-            part = block.base.select(F.col(block.require_key()).alias("row_id"), block.cells.array().alias(f"a{p}"))
-            joined = joined.join(part, "row_id", "full_outer")
-        names = [f"a{p}" for p in range(len(blocks))]
-        complete = F.col("b").isNotNull()
-        for name in names:
-            complete = complete & F.col(name).isNotNull()
+        """Column blocks of A and b, brought together on ``row_id`` in one shuffle."""
+        matrices = [b, *blocks]
+        names = ["b", *[f"a{p}" for p in range(len(blocks))]]
+        keyed = [
+            m.base.select(F.col(m.require_key()).alias("row_id"), m.cells.array().alias("vec")) for m in matrices
+        ]
+        if len(blocks) == 1:
+            pieces = [frame.withColumnRenamed("vec", name) for frame, name in zip(keyed, names)]
+            joined = pieces[0].join(pieces[1], "row_id", "full_outer")
+            complete = F.col("b").isNotNull() & F.col("a0").isNotNull()
+        else:
+            # A chain of joins would shuffle the growing result once per block.
+            tagged = [frame.withColumn("source", F.lit(p)) for p, frame in enumerate(keyed)]
+            stacked = tagged[0]
+            for frame in tagged[1:]:
+                stacked = stacked.unionByName(frame)
+            picked = [F.max(F.when(F.col("source") == p, F.col("vec"))).alias(name) for p, name in enumerate(names)]
+            joined = stacked.groupBy("row_id").agg(F.count(F.lit(1)).alias("found"), *picked)
+            complete = F.col("found") == len(names)
+            for name in names:
+                complete = complete & F.col(name).isNotNull()
         problem = F.raise_error(F.lit("A and b must have the same rows")).cast("array<double>")
-        vec = F.when(complete, F.concat(*names)).otherwise(problem)
+        vec = F.when(complete, F.concat(*names[1:])).otherwise(problem)
         width = sum(block.n_cols for block in blocks)
         base = joined.select("row_id", vec.alias("vec"), "b")
         return cls(base, Packed("vec", width), Packed("b", b.n_cols), "row_id")
@@ -225,8 +237,12 @@ class GradientDescent(Solver):
         parts = parts + [Wide(("_one",))]
         if self.batch_fraction >= 1.0:
             return gram_rows(counted, parts)
-        # Few steps are drawn per row, and each task adds up its rows per step before anything is shuffled.
-        return gram_rows(counted.withColumn("_step", self._drawn_steps(parts, key)), parts, "_step")
+        # Each task adds up its rows per step before anything is shuffled.
+        width = sum(part.width for part in parts)
+        counted = counted.withColumn("_steps", self._drawn_steps(parts, key))
+        if width <= GENERATED_GRAM:
+            return gram_rows(counted.withColumn("_step", F.explode("_steps")), parts, "_step")
+        return fold_rows(counted, parts, Gram(width), "_steps")
 
     def summarize_keyed(self, frame, parts, group):
         if self.batch_fraction < 1.0:
@@ -236,7 +252,7 @@ class GradientDescent(Solver):
     def _drawn_steps(self, parts: list[Cells], key: Column | None) -> Column:
         row = [key] if key is not None else [c for part in parts for c in part.columns()]
         steps = F.sequence(F.lit(1), F.lit(self.steps))
-        return F.explode(F.filter(steps, lambda t: self._drawn(row, t)))
+        return F.filter(steps, lambda t: self._drawn(row, t))
 
     def _drawn(self, row: list[Column], step: Column) -> Column:
         return keyed_uniform(*row, step, F.lit(self.seed)) < self.batch_fraction
@@ -249,12 +265,13 @@ class GradientDescent(Solver):
         return basis.T @ square @ basis
 
     def _solve(self, system, lams, columns):
-        if self.summary_width(system.n_cols, system.n_targets) <= LOCAL_WIDTH:
+        summaries = self.steps if self.batch_fraction < 1.0 else 1
+        if summaries * self.summary_width(system.n_cols, system.n_targets) ** 2 <= LOCAL_WIDTH**2:
             return super()._solve(system, lams, columns)
         return self.solve_by_steps(system, lams, columns)
 
     def solve_by_steps(self, system: System, lams: list[float], columns: list[range]) -> DataFrame:
-        """For matrices too wide for an n x n summary: one gradient pass per step, only n numbers per task."""
+        """When the summaries would be too large: one gradient pass per step, only n numbers per task."""
         spark, n = system.base.sparkSession, system.n_cols
         row = [F.col(system.key)] if system.key else system.a.columns() + system.b.columns()
         chosen = [c[0] for c in columns]

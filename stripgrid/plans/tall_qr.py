@@ -29,8 +29,9 @@ BLOCK_BYTES = 32 * 2**20
 
 def r_rows(frame: DataFrame, parts: list[Cells], key: str | None = None) -> DataFrame:
     """R factor as ``(key, i, vec)``, each result in one partition."""
-    check_width(sum(part.width for part in parts), "a QR factor")
-    return fold_rows(frame, parts, RFactor(), key)
+    width = sum(part.width for part in parts)
+    check_width(width, "a QR factor")
+    return fold_rows(frame, parts, RFactor(width), key)
 
 
 def r_long(matrix) -> DataFrame:

@@ -129,6 +129,13 @@ def test_mini_batches_match_the_same_sample_drawn_by_hand(spark, data):
     assert np.allclose(one_pass, expected) and np.allclose(by_steps, expected)
 
 
+def test_wide_residual_norm(spark):
+    a, b = random_uniform(spark, 60, 40, 1), random_uniform(spark, 60, 8, 2)
+    x = np.random.default_rng(3).normal(size=(40, 8))
+    expected = np.linalg.norm(b.to_local() - a.to_local() @ x)
+    assert residual_norm(System.align(a, b), x).head().value == pytest.approx(expected)
+
+
 def test_residual_norm_and_relative_error(spark, data):
     a, b, a_local, b_local = data
     system = System.align(a, b)
