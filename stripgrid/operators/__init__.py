@@ -1,0 +1 @@
+"""Operators on row and block matrices."""

@@ -1,0 +1 @@
+"""Jobs of several steps: factorisations, solvers, generated systems, comparisons."""

@@ -1,0 +1 @@
+"""Empty on purpose: dense factorisations and solvers run on complete matrices, and no operator here has a stream form."""
