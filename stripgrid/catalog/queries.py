@@ -71,8 +71,8 @@ def line_measures(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(
         F.lit(1.0).alias("one"),
         F.col("l_quantity").alias("qty"),
-        F.round(F.col("l_discount") * 100).alias("disc"),
-        F.round(F.col("l_tax") * 100).alias("tax"),
+        F.rint(F.col("l_discount") * 100).alias("disc"),
+        F.rint(F.col("l_tax") * 100).alias("tax"),
         F.col("l_linenumber").cast("double").alias("line"),
         (F.col("l_extendedprice") / 1000).alias("price"),
     )

@@ -7,7 +7,7 @@ fan-in of the tree is bounded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,9 +130,16 @@ class _Folder:
         return self.states
 
 
-def fold_rows(frame: DataFrame, parts: list[Cells], fold, key: str | None = None) -> DataFrame:
+def fold_rows(
+    frame: DataFrame,
+    parts: list[Cells],
+    fold,
+    key: str | None = None,
+    expand: Callable[[np.ndarray], Iterable[tuple[int, np.ndarray]]] | None = None,
+) -> DataFrame:
     """Fold all rows (per ``key``, with few distinct values) into one small matrix.
 
+    ``expand`` turns a piece of the matrix into several keyed pieces derived from it, inside the task.
     Returns ``(key, i, vec)`` in a single partition.
     """
     width = sum(part.width for part in parts)
@@ -146,7 +153,8 @@ def fold_rows(frame: DataFrame, parts: list[Cells], fold, key: str | None = None
         folder = _Folder(fold)
         for batch in batches:
             if batch.num_rows:
-                for k, rows in _split_by_key(batch, matrix_of(batch, parts), key):
+                matrix = matrix_of(batch, parts)
+                for k, rows in expand(matrix) if expand else _split_by_key(batch, matrix, key):
                     folder.take(k, rows)
         part = TaskContext.get().partitionId()
         for k, state in folder.finish().items():

@@ -17,7 +17,7 @@ from ..block_matrix import POSITION, BlockMatrix
 from ..functions.arrow import keyed_rows
 from ..functions.lineage import cut_lineage
 from ..operators.folding import PARTIAL_SCHEMA, merge_tree
-from .tall_qr import ThinQR, divide_right, thin_qr
+from .tall_qr import ThinQR, divide_right, squares_of, thin_qr
 
 _SUMS = "block_col int, s array<double>"
 
@@ -116,11 +116,15 @@ def _cross(paired: DataFrame, rank: int) -> DataFrame:
             yield from keyed_rows({"part": part, "key": block_col}, total)
 
     partials = paired.select("block_col", "n_rows", "n_cols", "q", "vals").mapInArrow(partial, PARTIAL_SCHEMA)
-    totals = merge_tree(partials, _AddRows())
-    lists = totals.groupBy(F.col("key").alias("block_col")).agg(
-        F.sort_array(F.collect_list(F.struct("i", "vec"))).alias("rows")
-    )
-    return lists.select("block_col", F.flatten("rows.vec").alias("s"))
+
+    def assemble(batches):
+        for block_col, total in squares_of(batches, rank):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block_col], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))],
+                ["block_col", "s"],
+            )
+
+    return merge_tree(partials, _AddRows()).coalesce(1).mapInArrow(assemble, _SUMS)
 
 
 def _subtract(paired: DataFrame, sums: DataFrame, rank: int) -> DataFrame:

@@ -6,7 +6,7 @@ solves from that summary in one small task, so any number of penalties costs a s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +17,15 @@ from ..functions.arrow import matrix_of, matrix_to_lists
 from ..functions.dense import gradient_steps, positive_r, ridge_from_gram, ridge_from_r
 from ..functions.monoids import monoid
 from ..layout import LOCAL_WIDTH, NARROW, Cells, Packed, Wide
-from ..operators.folding import ColumnReduce, Gram, fold_rows
+from ..operators.folding import ColumnReduce, Gram, RFactor, fold_rows
 from ..operators.products import GENERATED_GRAM, GENERATED_PRODUCT, gram_rows, product_items, times_local
 from ..row_matrix import RowMatrix
 from ..sources.random import keyed_uniform
 from ..sources.tables import from_columns
 from .tall_qr import collect_square, r_rows, squares_of
 
+Expand = Callable[[np.ndarray], Iterable[tuple[int, np.ndarray]]]
+
 SOLUTION_SCHEMA = "target int, lam double, j int, rhs int, x double"
 
 
@@ -101,8 +103,8 @@ class Solver:
     def local(self, squares: dict[int, np.ndarray], n: int, lam: float) -> np.ndarray:
         raise NotImplementedError
 
-    def summarize_keyed(self, frame: DataFrame, parts: list[Cells], group: str) -> DataFrame:
-        """Summaries of several systems in one table, told apart by an INT column with few distinct values."""
+    def summarize_expanded(self, matrix: RowMatrix, expand: Expand, width: int) -> DataFrame:
+        """Summaries of several systems [A | b] of ``width`` columns, all derived from the rows of one matrix."""
         raise NotImplementedError
 
     def local_or_nan(self, square: np.ndarray, n: int) -> np.ndarray:
@@ -188,8 +190,8 @@ class NormalEquations(Solver):
     def summarize(self, frame, parts, key):
         return gram_rows(frame, parts)
 
-    def summarize_keyed(self, frame, parts, group):
-        return gram_rows(frame, parts, group)
+    def summarize_expanded(self, matrix, expand, width):
+        return fold_rows(matrix.base, [matrix.cells], Gram(width), expand=expand)
 
     def local(self, squares, n, lam):
         gram = squares[0]
@@ -205,8 +207,8 @@ class QrTree(Solver):
     def summarize(self, frame, parts, key):
         return r_rows(frame, parts)
 
-    def summarize_keyed(self, frame, parts, group):
-        return r_rows(frame, parts, group)
+    def summarize_expanded(self, matrix, expand, width):
+        return fold_rows(matrix.base, [matrix.cells], RFactor(width), expand=expand)
 
     def local(self, squares, n, lam):
         return ridge_from_r(squares[0], n, lam)
@@ -244,10 +246,15 @@ class GradientDescent(Solver):
             return gram_rows(counted.withColumn("_step", F.explode("_steps")), parts, "_step")
         return fold_rows(counted, parts, Gram(width), "_steps")
 
-    def summarize_keyed(self, frame, parts, group):
+    def summarize_expanded(self, matrix, expand, width):
         if self.batch_fraction < 1.0:
             raise ValueError("sampled batches of several systems are not summarised together")
-        return gram_rows(frame.withColumn("_one", F.lit(1.0)), parts + [Wide(("_one",))], group)
+
+        def counted(rows):
+            for k, system in expand(rows):
+                yield k, np.hstack([system, np.ones((len(system), 1))])
+
+        return fold_rows(matrix.base, [matrix.cells], Gram(width + 1), expand=counted)
 
     def _drawn_steps(self, parts: list[Cells], key: Column | None) -> Column:
         row = [key] if key is not None else [c for part in parts for c in part.columns()]

@@ -46,17 +46,47 @@ class KnownSystem:
         return np.linalg.norm(self.middle @ self.x, axis=0)
 
 
+    def build(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of A and b from rows of [U | q]."""
+        a = u[:, :-1] @ self.middle
+        return a, a @ self.x * np.cos(self.theta) + u[:, -1:] * np.sin(self.theta) * self.product_norms
+
+
 @dataclass(frozen=True)
 class SystemSet:
-    """All systems as one table ``(system_id, row_id, vec, b)``."""
+    """Systems that share one orthonormal [U | q]."""
 
-    frame: DataFrame
+    u: RowMatrix
     known: list[KnownSystem]
-    n_cols: int
-    n_targets: int
+
+    @property
+    def n_cols(self) -> int:
+        return self.u.n_cols - 1
+
+    @property
+    def n_targets(self) -> int:
+        return self.known[0].x.shape[1]
+
+    def frame(self, system_ids: Sequence[int] | None = None) -> DataFrame:
+        """``(system_id, row_id, vec, b)`` for some or all of the systems."""
+        key, cells = self.u.require_key(), self.u.cells
+        chosen = [one for one in self.known if system_ids is None or one.system_id in system_ids]
+
+        def build(batches):
+            for batch in batches:
+                u = matrix_of(batch, [cells])
+                for one in chosen:
+                    a, b = one.build(u)
+                    ids = pa.array(np.full(len(u), one.system_id, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, batch.column(key), matrix_to_lists(a), matrix_to_lists(b)],
+                        ["system_id", "row_id", "vec", "b"],
+                    )
+
+        return self.u.base.select(key, *cells.columns()).mapInArrow(build, SYSTEM_SCHEMA)
 
     def system(self, system_id: int) -> System:
-        rows = self.frame.filter(F.col("system_id") == system_id).drop("system_id")
+        rows = self.frame([system_id]).drop("system_id")
         return System(rows, Packed("vec", self.n_cols), Packed("b", self.n_targets), "row_id")
 
 
@@ -76,97 +106,69 @@ def linear_systems(
         for theta in thetas:
             sigma = float(condition) ** (-np.arange(n) / n)
             known.append(KnownSystem(len(known), condition, theta, sigma[:, None] * v, rng.random((n, n_targets))))
-    q = thin_qr(left).q
-    key, cells = q.key, q.cells
-
-    def build(batches):
-        for batch in batches:
-            u = matrix_of(batch, [cells])
-            for one in known:
-                a = u[:, :n] @ one.middle
-                b = a @ one.x * np.cos(one.theta) + u[:, n:] * np.sin(one.theta) * one.product_norms
-                ids = pa.array(np.full(len(u), one.system_id, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, batch.column(key), matrix_to_lists(a), matrix_to_lists(b)],
-                    ["system_id", "row_id", "vec", "b"],
-                )
-
-    frame = q.base.select(key, *cells.columns()).mapInArrow(build, SYSTEM_SCHEMA)
-    return SystemSet(frame, known, n, n_targets)
+    return SystemSet(thin_qr(left).q, known)
 
 
 def accuracy_report(systems: SystemSet, solvers: dict[str, Solver] | None = None) -> DataFrame:
     """One row per solver and system: residual norm, relative error and condition numbers.
 
-    Each solver summarises all systems in one pass keyed by ``system_id``; one more pass takes the residuals.
+    Each solver summarises all systems in one pass over U, without writing the systems out; one more pass takes the
+    residuals.
     """
     solvers = solvers or {
         "tsqr": QrTree(),
         "normal": NormalEquations(),
         "sgd": GradientDescent(steps=10, step_size=0.1),
     }
-    n, k = systems.n_cols, systems.n_targets
-    a, b = Packed("vec", n), Packed("b", k)
-    factors = dict(_collect_keyed(QrTree().summarize_keyed(systems.frame, [a, b], "system_id"), n + k))
+    n, k, known = systems.n_cols, systems.n_targets, systems.known
+
+    def expand(u):
+        for one in known:
+            yield one.system_id, np.hstack(one.build(u))
+
+    factors = _collect_keyed(QrTree().summarize_expanded(systems.u, expand, n + k), n + k)
     solutions: dict[tuple[str, int], np.ndarray] = {}
     for name, solver in solvers.items():
         solver.check(k)
         squares = factors
         if not isinstance(solver, QrTree):
-            summary = solver.summarize_keyed(systems.frame, [a, b], "system_id")
-            squares = dict(_collect_keyed(summary, solver.summary_width(n, k)))
+            squares = _collect_keyed(solver.summarize_expanded(systems.u, expand, n + k), solver.summary_width(n, k))
         for system_id, square in squares.items():
             solutions[name, system_id] = solver.local_or_nan(square, n)
     residuals = _residuals(systems, list(solvers), solutions)
     rows = []
     for name in solvers:
-        for one in systems.known:
+        for one in known:
             x, r = solutions[name, one.system_id], factors[one.system_id][:n, :n]
-            error = np.linalg.norm(x - one.x) / np.linalg.norm(one.x)
-            rows.append(
-                (
-                    name,
-                    one.condition,
-                    one.theta,
-                    float(residuals[name, one.system_id]),
-                    float(error),
-                    condition_two_norm(r),
-                    condition_one_norm(r),
-                )
-            )
+            error = float(np.linalg.norm(x - one.x) / np.linalg.norm(one.x))
+            residual = residuals[name, one.system_id]
+            conditions = condition_two_norm(r), condition_one_norm(r)
+            rows.append((name, one.condition, one.theta, residual, error, *conditions))
     schema = (
         "solver string, condition double, theta double, residual double, relative_error double, cond_2 double, "
         "cond_1 double"
     )
-    return systems.frame.sparkSession.createDataFrame(rows, schema)
+    return systems.u.base.sparkSession.createDataFrame(rows, schema)
 
 
-def _collect_keyed(summary: DataFrame, width: int) -> list[tuple[int, np.ndarray]]:
-    return squares_of(summary.select("key", "i", "vec").toArrow().to_batches(), width)
+def _collect_keyed(summary: DataFrame, width: int) -> dict[int, np.ndarray]:
+    return dict(squares_of(summary.select("key", "i", "vec").toArrow().to_batches(), width))
 
 
 def _residuals(systems: SystemSet, names: list[str], solutions: dict) -> dict[tuple[str, int], float]:
-    """||b - A x|| for every solver and system, from one pass over the table."""
-    a, b = Packed("vec", systems.n_cols), Packed("b", systems.n_targets)
-    stacked = {one.system_id: np.hstack([solutions[name, one.system_id] for name in names]) for one in systems.known}
-    copies = len(names)
-
-    def squares(batches):
-        for batch in batches:
-            ids = batch.column("system_id").to_numpy()
-            rows, rhs = matrix_of(batch, [a]), matrix_of(batch, [b])
-            for system_id in np.unique(ids):
-                mine = ids == system_id
-                gaps = np.tile(rhs[mine], copies) - rows[mine] @ stacked[int(system_id)]
-                line = (gaps**2).sum(axis=0).reshape(copies, -1).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([system_id], pa.int32()), matrix_to_lists(line[None, :])], ["system_id", "vec"]
-                )
-
-    lines = systems.frame.mapInArrow(squares, "system_id int, vec array<double>")
-    sums = fold_rows(lines, [Packed("vec", copies)], ColumnReduce(np.add), key="system_id")
+    """||b - A x|| for every solver and system, from one pass over U."""
+    known, copies = systems.known, len(names)
+    stacked = {one.system_id: np.hstack([solutions[name, one.system_id] for name in names]) for one in known}
+
+    def squares(u):
+        for one in known:
+            a, b = one.build(u)
+            gaps = np.tile(b, copies) - a @ stacked[one.system_id]
+            yield one.system_id, (gaps**2).reshape(len(u), copies, -1).sum(axis=2)
+
+    sums = _collect_keyed(fold_rows(systems.u.base, [systems.u.cells], ColumnReduce(np.add), expand=squares), copies)
     return {
         (name, system_id): float(np.sqrt(total[0, i]))
-        for system_id, total in _collect_keyed(sums, copies)
+        for system_id, total in sums.items()
         for i, name in enumerate(names)
     }
