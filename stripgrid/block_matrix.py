@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.monoids import monoid
-from .layout import Packed, Wide
+from .layout import Packed, Wide, explode_cells
 from .operators import block_reductions
 from .operators.reductions import root_of_squares
 from .row_matrix import INT_MAX, RowMatrix, bounds, reciprocal
@@ -275,7 +275,8 @@ class BlockMatrix:
 
     def _elements(self) -> RowMatrix:
         """All elements as an n x 1 matrix without positions, for whole-matrix operators."""
-        return RowMatrix(self.df.select(F.explode("vals").alias("value")), Wide(("value",)), key=None)
+        cells = explode_cells(self.df, [], F.col("vals"), "pos", "value")
+        return RowMatrix(cells.select("value"), Wide(("value",)), key=None)
 
     def norm_frobenius(self) -> float:
         return self.norm_frame().head()[0]
@@ -301,7 +302,7 @@ class BlockMatrix:
 
     def to_long(self) -> DataFrame:
         """``(i, j, value)`` with global positions."""
-        cells = self.df.select("row_start", "col_start", "n_cols", F.posexplode("vals").alias("pos", "value"))
+        cells = explode_cells(self.df, ["row_start", "col_start", "n_cols"], F.col("vals"), "pos", "value")
         return cells.select(
             (F.col("row_start") + F.expr("pos div n_cols")).alias("i"),
             (F.col("col_start") + F.col("pos") % F.col("n_cols")).cast("int").alias("j"),
@@ -325,7 +326,7 @@ def block_rows(df: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("n_rows") - 1),
         lambda r: F.slice(F.col("vals"), r * F.col("n_cols") + 1, F.col("n_cols")),
     )
-    return df.select("block_row", "block_col", "row_start", F.posexplode(rows).alias("offset", "vec")).select(
+    return explode_cells(df, ["block_row", "block_col", "row_start"], rows, "offset", "vec").select(
         (F.col("row_start") + F.col("offset")).alias("row_id"), "block_row", "block_col", "vec"
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -68,3 +68,13 @@ LOCAL_WIDTH = 4096
 
 # Spark type of a packed row.
 VECTOR = ArrayType(DoubleType())
+
+
+def explode_cells(frame: DataFrame, keep: list, array: Column, position: str, value: str) -> DataFrame:
+    """``keep``, ``position`` and ``value``: one row per array element.
+
+    The outer form is used because the plain one makes the optimizer add a filter that computes the whole array
+    expression once more (to skip empty arrays); here empty arrays are dropped by their missing position.
+    """
+    cells = frame.select(*keep, F.posexplode_outer(array).alias(position, value))
+    return cells.filter(F.col(position).isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.monoids import Monoid, monoid
-from ..layout import VECTOR, Packed
+from ..layout import VECTOR, Packed, explode_cells
 from .folding import ColumnReduce, fold_rows
 from .reductions import reduce_values
 
@@ -18,7 +18,7 @@ def by_row(df: DataFrame, op) -> DataFrame:
     keys = ["block_row", "row_start", "n_rows"]
     if isinstance(op, str):
         reducer = monoid(op)
-        partials = _local_ufunc(df, reducer.ufunc, axis=1).select(*keys, F.posexplode("part").alias("pos", "x"))
+        partials = explode_cells(_local_ufunc(df, reducer.ufunc, axis=1), keys, F.col("part"), "pos", "x")
         combined = _combine(partials, keys, reducer)
     else:
         combined = _combine_ufunc(_local_ufunc(df, op, axis=1), keys, op)
@@ -37,7 +37,7 @@ def by_column(df: DataFrame, op) -> DataFrame:
     """Blocks of the 1 x m result. Named reducers are added up in each task before anything is shuffled."""
     if isinstance(op, str):
         keys = ["block_col", "col_start", "n_cols"]
-        cells = df.select(*keys, F.posexplode("vals").alias("at", "x"))
+        cells = explode_cells(df, keys, F.col("vals"), "at", "x")
         combined = _combine(cells.select(*keys, (F.col("at") % F.col("n_cols")).alias("pos"), "x"), keys, monoid(op))
     else:
         combined = _columns_ufunc(df, op)

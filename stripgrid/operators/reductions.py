@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.arrow import matrix_of
 from ..functions.monoids import Monoid, monoid
-from ..layout import NARROW, Cells, Packed, Wide
+from ..layout import NARROW, Cells, Packed, Wide, explode_cells
 from .folding import ColumnReduce, fold_rows, tree_levels
 
 # Up to this many array elements are read one by one in compiled code.
@@ -62,7 +62,7 @@ def col_values(matrix, op) -> DataFrame:
         totals = matrix.base.agg(*[reducer.aggregate(x).alias(f"c{j}") for j, x in enumerate(cells.items())])
         vec = F.array(*[F.col(f"c{j}") for j in range(cells.width)])
         return totals.select(F.posexplode(vec).alias("j", "value")).filter("value is not null")
-    exploded = matrix.base.select(F.posexplode(cells.array()).alias("j", "x"))
+    exploded = explode_cells(matrix.base, [], cells.array(), "j", "x")
     return exploded.groupBy("j").agg(reducer.aggregate(F.col("x")).alias("value"))
 
 
@@ -86,7 +86,7 @@ def reduce_values(frame: DataFrame, cells: Cells, reducer: Monoid) -> DataFrame:
         return frame.agg(reducer.aggregate(reducer.of_items(cells.items())).alias("value"))
     if reducer.of_array is not None:
         return frame.agg(reducer.aggregate(reducer.of_array(cells.array())).alias("value"))
-    return frame.select(F.explode(cells.array()).alias("x")).agg(reducer.aggregate(F.col("x")).alias("value"))
+    return explode_cells(frame, [], cells.array(), "pos", "x").agg(reducer.aggregate(F.col("x")).alias("value"))
 
 
 def norm_frobenius(matrix) -> DataFrame:
@@ -98,7 +98,7 @@ def root_of_squares(frame: DataFrame, cells: Cells) -> DataFrame:
     if isinstance(cells, Wide):
         squares = monoid("sum").of_items([x * x for x in cells.items()])
     else:
-        frame = frame.select(F.explode(cells.array()).alias("x"))
+        frame = explode_cells(frame, [], cells.array(), "pos", "x")
         squares = F.col("x") * F.col("x")
     return frame.agg(F.sqrt(F.coalesce(F.sum(squares), F.lit(0.0))).alias("value"))
 

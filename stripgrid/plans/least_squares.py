@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import matrix_of, matrix_to_lists
 from ..functions.dense import gradient_steps, positive_r, ridge_from_gram, ridge_from_r
 from ..functions.monoids import monoid
-from ..layout import LOCAL_WIDTH, NARROW, Cells, Packed, Wide
+from ..layout import LOCAL_WIDTH, NARROW, Cells, Packed, Wide, explode_cells
 from ..operators.folding import ColumnReduce, Gram, RFactor, fold_rows
 from ..operators.products import GENERATED_GRAM, GENERATED_PRODUCT, gram_rows, product_items, times_local
 from ..row_matrix import RowMatrix
@@ -243,7 +243,7 @@ class GradientDescent(Solver):
         width = sum(part.width for part in parts)
         counted = counted.withColumn("_steps", self._drawn_steps(parts, key))
         if width <= GENERATED_GRAM:
-            return gram_rows(counted.withColumn("_step", F.explode("_steps")), parts, "_step")
+            return gram_rows(explode_cells(counted, ["*"], F.col("_steps"), "_at", "_step"), parts, "_step")
         return fold_rows(counted, parts, Gram(width), "_steps")
 
     def summarize_expanded(self, matrix, expand, width):
@@ -336,7 +336,7 @@ def residual_norm(system: System, x: np.ndarray) -> DataFrame:
         squares = monoid("sum").of_items([gap * gap for gap in gaps])
     else:
         pairs = times_local(system.base, system.a, x, system.b.fields(), "_ax")
-        predicted = pairs.select(F.explode(F.arrays_zip(system.b.array().alias("b"), "_ax")).alias("pair"))
+        predicted = pairs.select(F.explode_outer(F.arrays_zip(system.b.array().alias("b"), "_ax")).alias("pair"))
         gap = F.col("pair.b") - F.col("pair._ax")
         squares = gap * gap
     return predicted.agg(F.sqrt(F.coalesce(F.sum(squares), F.lit(0.0))).alias("value"))

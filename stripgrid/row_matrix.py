@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.monoids import monoid
-from .layout import VECTOR, Cells, Packed, Wide
+from .layout import VECTOR, Cells, Packed, Wide, explode_cells
 from .operators import products, reductions, shape
 
 INT_MAX = 2**31 - 1
@@ -249,7 +249,7 @@ class RowMatrix:
     def to_long(self) -> DataFrame:
         """``(i, j, value)``."""
         key = self.require_key()
-        return self.base.select(F.col(key).alias("i"), F.posexplode(self.cells.array()).alias("j", "value"))
+        return explode_cells(self.base, [F.col(key).alias("i")], self.cells.array(), "j", "value")
 
     def to_local(self) -> np.ndarray:
         """Dense NumPy copy in row order, refused when it would not fit a local array."""

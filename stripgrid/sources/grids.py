@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..block_matrix import BlockMatrix, Steps
 from ..functions.prefix import running_start
+from ..layout import explode_cells
 from ..row_matrix import RowMatrix
 
 
@@ -21,11 +22,8 @@ def to_grid(matrix: RowMatrix, rows_per_block: int, cols_per_block: int) -> Bloc
     pieces = F.transform(
         F.sequence(F.lit(0), F.lit(panels - 1)), lambda p: F.slice(matrix.cells.array(), p * c + 1, F.lit(c))
     )
-    cut = matrix.base.select(
-        F.expr(f"int({key} div {r})").alias("block_row"),
-        F.col(key).alias("row_id"),
-        F.posexplode(pieces).alias("block_col", "piece"),
-    )
+    position = [F.expr(f"int({key} div {r})").alias("block_row"), F.col(key).alias("row_id")]
+    cut = explode_cells(matrix.base, position, pieces, "block_col", "piece")
     blocks = cut.groupBy("block_row", "block_col").agg(
         F.sort_array(F.collect_list(F.struct("row_id", "piece"))).alias("rows")
     )

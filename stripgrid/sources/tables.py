@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.prefix import running_start
-from ..layout import Packed, Wide, quoted
+from ..layout import Packed, Wide, explode_cells, quoted
 from ..row_matrix import RowMatrix
 
 
@@ -85,9 +85,7 @@ def from_strips(strips: DataFrame, n_cols: int | None = None) -> RowMatrix:
     checked = F.when(F.col("n_rows") == 0, none).when(fits, rows).otherwise(
         F.raise_error(F.lit(f"every strip must have {n_cols} columns")).cast("array<array<double>>")
     )
-    base = (
-        strips.join(directory.select("strip_id", "start_row"), "strip_id")
-        .select("start_row", F.posexplode(checked).alias("offset", "vec"))
-        .select((F.col("start_row") + F.col("offset")).alias("row_id"), "vec")
-    )
+    placed = strips.join(directory.select("strip_id", "start_row"), "strip_id")
+    stacked = explode_cells(placed, ["start_row"], checked, "offset", "vec")
+    base = stacked.select((F.col("start_row") + F.col("offset")).alias("row_id"), "vec")
     return RowMatrix(base, Packed("vec", n_cols))
