@@ -61,7 +61,7 @@ def block_qr_r(matrix: BlockMatrix) -> BlockMatrix:
         trailing = cut_lineage(_subtract(once, more, factor.q.n_cols).drop("q"))
         once.unpersist()
         paired.unpersist()
-        pieces.append(_row_piece(sums, more, trailing, block_col, col_start, factor.q.n_cols, height))
+        pieces.append(_row_piece(sums, more, panels, block_col, col_start, factor.q.n_cols, height))
     result = pieces[0]
     for piece in pieces[1:]:
         result = result.unionByName(piece)
@@ -151,12 +151,16 @@ def _blocks_of(batch: pa.RecordBatch, rank: int):
 
 
 def _row_piece(
-    first: DataFrame, second: DataFrame, trailing: DataFrame, block_col: int, start: int, rank: int, height: int
+    first: DataFrame, second: DataFrame, panels: list[tuple], block_col: int, start: int, rank: int, height: int
 ) -> DataFrame:
     """Blocks of R to the right of the diagonal: both projections added up, turned from S' to S."""
-    panels = trailing.select("block_col", "col_start", "n_cols").distinct()
+    starts = F.create_map(*[F.lit(value) for c, col_start, _ in panels for value in (c, col_start)])
     total = F.zip_with("s", "s2", lambda x, y: x + y)
-    both = first.join(second.withColumnRenamed("s", "s2"), "block_col").select("block_col", total.alias("s"))
+    both = (
+        first.join(second.withColumnRenamed("s", "s2"), "block_col")
+        .select("block_col", total.alias("s"))
+        .withColumn("n_cols", F.expr(f"int(size(s) div {rank})"))
+    )
     turned = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.lit(height - 1)),
@@ -165,16 +169,12 @@ def _row_piece(
             ),
         )
     )
-    return (
-        both.join(panels, "block_col")
-        .withColumn("vals", turned)
-        .select(
-            F.lit(block_col).alias("block_row"),
-            "block_col",
-            F.lit(start).cast("bigint").alias("row_start"),
-            "col_start",
-            F.lit(height).alias("n_rows"),
-            "n_cols",
-            "vals",
-        )
+    return both.select(
+        F.lit(block_col).alias("block_row"),
+        "block_col",
+        F.lit(start).cast("bigint").alias("row_start"),
+        F.element_at(starts, F.col("block_col")).cast("bigint").alias("col_start"),
+        F.lit(height).alias("n_rows"),
+        "n_cols",
+        turned.alias("vals"),
     )
