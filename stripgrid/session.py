@@ -7,6 +7,9 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small shuffles shrink to few tasks, for persisted frames too.
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.session.timeZone": "UTC",
     # Dense kernels run once per task slot; one BLAS thread each avoids oversubscription.
     "spark.executorEnv.OMP_NUM_THREADS": "1",
