@@ -19,31 +19,37 @@ def linked_pairs(
 
     ``members``: distinct (bucket, node). ``distances`` adds ``distance`` to pairs (a, b); it must be a metric, exact
     up to 2 x reach, and above that any number over 2 x reach. In a bucket of at most ``small`` nodes every pair is
-    measured. In a larger one its smallest node, the pivot, is measured against the others, which is one pair a node.
-    Linked nodes then leave the bucket if no node that stays can be within their reach: by the triangle inequality
-    when their distance to the pivot plus the reach is less than the distance of each unlinked node. What stays goes
-    to the next round with the pivots of those rounds. So two nodes within reach are in the same connected group of
-    the links whatever the bucket sizes, while a bucket of n near copies costs about n pairs and not n * n / 2.
+    measured. In a larger one all nodes are measured against a pivot, its smallest node, which is one pair a node. A
+    linked node then leaves the bucket if no node that stays can be within its reach: by the triangle inequality, when
+    its distance to the pivot plus the reach is less than the distance of each node that the pivot does not reach.
+    What stays is measured against ``small`` pivots at once, and so on; pivots leave after their round. So two nodes
+    within reach are in the same connected group of the links whatever the bucket sizes, while a bucket of n near
+    copies costs about n pairs and not n * n / 2.
     """
-    links, members = None, cut_lineage(members)
+    links, members, pivots = None, cut_lineage(members), 1
     while True:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = members.join(sizes, "bucket")
         few = sized.where(F.col("n") <= small).select("bucket", "node")
         inner = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket")
-        crowded = sized.where((F.col("n") > small) & (F.col("node") != F.col("pivot")))
-        pairs = (
-            inner.where("a < b").select("a", "b").unionByName(crowded.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        ).distinct()
+        many = sized.where(F.col("n") > small).select("bucket", "node")
+        chosen = many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("class")).agg(F.min("node").alias("pivot"))
+        crowded = cut_lineage(many.join(chosen.select("bucket", "pivot"), "bucket").where("node != pivot"))
+        ends = (F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        pairs = inner.where("a < b").select("a", "b").unionByName(crowded.select(*ends)).distinct()
         measured = cut_lineage(distances(pairs).select("a", "b", "distance"))
         found = measured.where(F.col("distance") <= reach)
         links = found if links is None else links.unionByName(found)
-        far = crowded.join(measured, (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b")))
-        far = far.select("bucket", "node", "distance")
-        nearest = far.where(F.col("distance") > reach).groupBy("bucket").agg(F.min("distance").alias("nearest"))
-        members = cut_lineage(
-            far.join(nearest, "bucket").where((F.col("distance") > reach) | (F.col("distance") + reach >= F.col("nearest"))).select("bucket", "node")
-        )
+        if crowded.isEmpty():
+            return links
+        far = crowded.select("bucket", "node", "pivot", *ends).join(measured, ["a", "b"])
+        far = far.join(chosen.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")), ["bucket", "node"], "left")
+        far = far.where("is_pivot is null").select("bucket", "node", "pivot", "distance")
+        beyond = F.min(F.when(F.col("distance") > reach, F.col("distance"))).alias("beyond")
+        nearest = far.groupBy("bucket", "pivot").agg(beyond)
+        free = (F.col("distance") <= reach) & (F.col("beyond").isNull() | (F.col("distance") + reach < F.col("beyond")))
+        judged = far.join(nearest, ["bucket", "pivot"]).groupBy("bucket", "node").agg(F.max(free).alias("free"))
+        members, pivots = cut_lineage(judged.where("not free").select("bucket", "node")), small
         if members.isEmpty():
             return links
 

@@ -15,6 +15,7 @@ BITS, LANES = 63, 21
 RADIUS = 2
 BLOCKS = (16, 16, 16, 15)
 SIMILARITY = 0.9
+SENT_ROWS = 100_000
 
 
 def normal_line(line: Column) -> Column:
@@ -122,6 +123,9 @@ def line_groups(frame: DataFrame, key: str = "doc_id", text: str = "text") -> tu
         wanted = wanted.distinct().select(F.col("a").alias("node"), F.col("first_a.row_id").alias("row_id"), F.col("first_a.line_no").alias("line_no"))
         rows = frame.select(F.xxhash64(key, F.lit("|"), text).alias("row_id"), F.col(text).alias("text"))
         line = word_letters(normal_line(F.split("text", "\n")[F.col("line_no")]))
+        wanted = cut_lineage(wanted)
+        if wanted.count() <= SENT_ROWS:  # 20 bytes each; else both sides are shuffled
+            wanted = F.broadcast(wanted)
         texts = cut_lineage(rows.join(wanted, "row_id").select("node", line.alias("line")).dropDuplicates(["node"]))
         both = near.join(texts.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b"

@@ -10,18 +10,19 @@ from stripgrid.llm.packing import TokenIds, Windows, pack
 from stripgrid.llm.queries import op5_packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
 
 
 def exact_ids(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_ids_equal_the_tokenizers_library():
-    draw, tokens, tokenizer = random.Random(1), TokenIds(PATH), Tokenizer.from_file(PATH)
+    draw, tokens = random.Random(1), TokenIds(PATH)
     assert tokens.fast is not None
     parts = ["a", "B", "'s", " ", "  ", "\n", "\t", "é", "1", "23", "!!", "'", "中", "<|endoftext|>", "\x1c", "\x85", "​", "x"]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
-    wanted = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    wanted = [x.ids for x in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.ids(texts)] == wanted
 
 
