@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from stripgrid.functions.lineage import cut_lineage
 
 SAMPLE_PAGES = 8
+SENT_ROWS, SENT_BYTES = 100_000, 16 * 2**20
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
@@ -290,13 +291,18 @@ def main_text(frame: DataFrame, key: str = "page_id", url: str = "url", html: st
     pages = frame.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     pages = pages.withColumn("draw", F.xxhash64("key", F.lit("|"), "url"))
     drawn = pages.groupBy("host", F.pmod("draw", F.lit(SAMPLE_PAGES)).alias("class")).agg(F.min("draw").alias("draw"))
-    sample = pages.join(drawn.select("host", "draw"), ["host", "draw"]).groupBy("host", "draw").agg(F.min("html").alias("html"))
+    drawn = cut_lineage(drawn.select("host", "draw"))
+    if drawn.count() <= SENT_ROWS:  # else both sides are shuffled
+        drawn = F.broadcast(drawn)
+    sample = pages.join(drawn, ["host", "draw"]).groupBy("host", "draw").agg(F.min("html").alias("html"))
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         pages = [x or "" for x in group.sort_values("draw")["html"]]
         return pd.DataFrame({"of": [group["host"].iloc[0]], "wrapper": [induce(pages)]})
 
     wrappers = cut_lineage(sample.groupBy("host").applyInPandas(learn, "of string, wrapper string"))
+    if (wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("of"))).first()[0] or 0) <= SENT_BYTES:
+        wrappers = F.broadcast(wrappers)
     schema = T.StructType(
         [
             T.StructField("key", frame.schema[key].dataType),
