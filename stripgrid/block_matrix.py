@@ -98,7 +98,9 @@ class BlockMatrix:
     # -- element-wise ------------------------------------------------------------------------------------
 
     def map_elements(self, fn: Callable[[Column], Column]) -> BlockMatrix:
-        return self.with_vals(F.transform("vals", lambda x: fn(x).cast("double")))
+        """``fn`` maps a Column to a Column. A NULL result is an error; use NaN."""
+        null = F.raise_error(F.lit("an element map gave NULL")).cast("double")
+        return self.with_vals(F.transform("vals", lambda x: F.coalesce(fn(x).cast("double"), null)))
 
     def pow(self, exponent: float) -> BlockMatrix:
         return self.map_elements(lambda x: F.pow(x, F.lit(float(exponent))))

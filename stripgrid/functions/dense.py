@@ -28,6 +28,8 @@ def solve_named(matrix: np.ndarray, rhs: np.ndarray, lam: float) -> np.ndarray:
 
 def ridge_from_gram(gram: np.ndarray, cross: np.ndarray, lam: float) -> np.ndarray:
     """(A'A + lam I) x = A'b."""
+    if lam < 0:
+        raise ValueError(f"the normal equations need a non-negative penalty, got lambda={lam}")
     return solve_named(gram + lam * np.eye(len(gram)), cross, lam)
 
 

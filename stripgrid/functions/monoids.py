@@ -30,7 +30,8 @@ class Monoid:
 MONOIDS = {
     "sum": Monoid(0.0, lambda a, x: a + x, F.sum, np.add),
     "prod": Monoid(1.0, lambda a, x: a * x, F.product, np.multiply),
-    "min": Monoid(float("inf"), lambda a, x: F.least(a, x), F.min, np.minimum, F.array_min),
+    # Spark orders NaN above all numbers, so a minimum is NaN only if all values are; fmin agrees with that.
+    "min": Monoid(float("inf"), lambda a, x: F.least(a, x), F.min, np.fmin, F.array_min),
     "max": Monoid(float("-inf"), lambda a, x: F.greatest(a, x), F.max, np.maximum, F.array_max),
 }
 

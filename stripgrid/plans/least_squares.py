@@ -144,12 +144,14 @@ class Solver:
             raise ValueError(f"expected {k * len(lams)} residual columns, got {residuals.width}")
         keep = [F.col(system.key)] if system.key else []
         if residuals.width <= NARROW:
-            b, offsets = system.b.items(), residuals.items()
+            b, offsets = system.b.items(), [_present(x) for x in residuals.items()]
             shifted = [(b[c % k] - offsets[c]).alias(f"_shifted{c}") for c in range(residuals.width)]
             cells: Cells = Wide(tuple(f"_shifted{c}" for c in range(residuals.width)))
         else:
-            pieces = [F.slice(residuals.array(), t * k + 1, k) for t in range(len(lams))]
-            gaps = [F.zip_with(system.b.array(), piece, lambda x, y: x - y) for piece in pieces]
+            whole = F.when(F.size(residuals.array()) == residuals.width, residuals.array())
+            whole = F.coalesce(whole, F.raise_error(F.lit("a residual row is NULL or has another length")).cast("array<double>"))
+            pieces = [F.slice(whole, t * k + 1, k) for t in range(len(lams))]
+            gaps = [F.zip_with(system.b.array(), piece, lambda x, y: x - _present(y)) for piece in pieces]
             shifted, cells = [F.concat(*gaps).alias("_shifted")], Packed("_shifted", residuals.width)
         moved = System(system.base.select(*keep, *system.a.columns(), *shifted), system.a, cells, system.key)
         return self._solve(moved, list(lams), [range(t * k, (t + 1) * k) for t in range(len(lams))])
@@ -171,6 +173,10 @@ class Solver:
         return summary.coalesce(1).mapInArrow(solve, SOLUTION_SCHEMA)
 
 
+def _present(residual: Column) -> Column:
+    return F.coalesce(residual, F.raise_error(F.lit("a residual is NULL")).cast("double"))
+
+
 def solution_batch(target: int, lam: float, x: np.ndarray) -> pa.RecordBatch:
     n, k = x.shape
     return pa.RecordBatch.from_pydict(
@@ -343,9 +349,10 @@ def residual_norm(system: System, x: np.ndarray) -> DataFrame:
 
 
 def relative_error(solution: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row ``(value)`` = ||x - x*|| / ||x*||; both frames are ``(j, rhs, x)``."""
+    """One row ``(value)`` = ||x - x*|| / ||x*||; both frames are ``(j, rhs, x)`` with the same entries, else an error."""
     true = truth.select("j", "rhs", F.col("x").alias("_true"))
-    gap = F.col("x") - F.col("_true")
-    return solution.join(true, ["j", "rhs"]).agg(
+    missing = F.raise_error(F.lit("the solution and the truth hold different entries")).cast("double")
+    gap = F.coalesce(F.col("x") - F.col("_true"), missing)
+    return solution.select("j", "rhs", "x").join(true, ["j", "rhs"], "full").agg(
         (F.sqrt(F.sum(gap * gap)) / F.sqrt(F.sum(F.col("_true") * F.col("_true")))).alias("value")
     )

@@ -73,11 +73,15 @@ class RowMatrix:
     # -- element-wise ------------------------------------------------------------------------------------
 
     def map_elements(self, fn: Callable[[Column], Column]) -> RowMatrix:
-        """``fn`` maps a Column to a Column, so the work stays in Catalyst."""
+        """``fn`` maps a Column to a Column, so the work stays in Catalyst. A NULL result is an error; use NaN."""
+
+        def mapped_value(x: Column) -> Column:
+            return F.coalesce(fn(x).cast("double"), F.raise_error(F.lit("an element map gave NULL")).cast("double"))
+
         if isinstance(self.cells, Wide):
-            mapped = [fn(x).cast("double").alias(name) for name, x in zip(self.cells.names, self.cells.items())]
+            mapped = [mapped_value(x).alias(name) for name, x in zip(self.cells.names, self.cells.items())]
             return self.replace(self.base.select(*self._key_columns(), *mapped), self.cells)
-        vec = F.transform(self.cells.array(), lambda x: fn(x).cast("double")).alias(self.cells.name)
+        vec = F.transform(self.cells.array(), mapped_value).alias(self.cells.name)
         return self.replace(self.base.select(*self._key_columns(), vec), self.cells)
 
     def map_numpy(self, fn: Callable[[np.ndarray], np.ndarray]) -> RowMatrix:
