@@ -40,8 +40,9 @@ class Shingles:
             return np.zeros(0, np.uint64)
         if len(known) > CACHED:
             known.clear()
-        for word in set(words) - known.keys():
-            known[word] = xxhash.xxh3_64_intdigest(word)
+        for word in set(words):
+            if word not in known:
+                known[word] = xxhash.xxh3_64_intdigest(word)
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = max(1, len(words) - self.n + 1)
         out = np.zeros(width, np.uint64)
