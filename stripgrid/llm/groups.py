@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stripgrid.functions.lineage import cut_lineage
+from stripgrid.llm.common import stored
 
 SMALL = 32
+MOST_PIVOTS = 62  # a bit of a long each
 
 
 def linked_pairs(
@@ -19,41 +21,84 @@ def linked_pairs(
 
     ``members``: distinct (bucket, node). ``distances`` adds ``distance`` to pairs (a, b); it must be a metric, exact
     up to 2 x reach, and above that any number over 2 x reach. In a bucket of at most ``small`` nodes every pair is
-    measured. In a larger one all nodes are measured against a pivot, its smallest node, which is one pair a node. A
-    linked node then leaves the bucket if no node that stays can be within its reach: by the triangle inequality, when
-    its distance to the pivot plus the reach is less than the distance of each node that the pivot does not reach.
-    What stays is measured against ``small`` pivots at once, and so on; pivots leave after their round. So two nodes
-    within reach are in the same connected group of the links whatever the bucket sizes, while a bucket of n near
-    copies costs about n pairs and not n * n / 2.
+    measured. In a larger one all nodes are measured against a pivot, its smallest node, which is one pair a node, then
+    against up to ``small`` pivots at once, then ``MOST_PIVOTS``; pivots leave after their round. Nodes that links of their bucket
+    connect form a class. A node leaves if no node of another class can be within its reach: by the triangle inequality,
+    when its distance to a linked pivot plus the reach is less than the distance of each node outside the pivot's class.
+    A bucket of one class is settled. So two nodes within reach are in the same connected group of the links whatever the
+    bucket sizes, while a bucket of n near copies costs about n pairs a pivot and not n * n / 2. Half of the pivots are
+    drawn by class, so that the nodes still apart are measured first.
     """
-    links, members, pivots = None, cut_lineage(members), 1
+    links, pivots, turn = None, 1, 0
+    members = stored(members.select("bucket", "node", F.col("node").alias("label")))
     while True:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = members.join(sizes, "bucket")
-        few = sized.where(F.col("n") <= small).select("bucket", "node")
-        inner = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket")
-        many = sized.where(F.col("n") > small).select("bucket", "node")
-        chosen = many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("class")).agg(F.min("node").alias("pivot"))
-        crowded = cut_lineage(many.join(chosen.select("bucket", "pivot"), "bucket").where("node != pivot"))
-        ends = (F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = inner.where("a < b").select("a", "b").unionByName(crowded.select(*ends)).distinct()
-        measured = cut_lineage(distances(pairs).select("a", "b", "distance"))
+        by_label, half = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0, F.lit((pivots + 1) // 2)
+        draw = F.when(by_label, F.pmod(F.xxhash64("label"), half)).otherwise(F.lit(pivots // 2) + F.pmod(F.xxhash64("node"), half))
+        drawn = members.groupBy("bucket", draw.alias("draw")).agg(
+            F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
+        )
+        shapes = drawn.groupBy("bucket").agg(
+            F.sum("n").alias("n"), (F.min("low") != F.max("high")).alias("mixed"), F.sort_array(F.collect_list("pivot")).alias("pivots")
+        )
+        shapes = cut_lineage(shapes.where("mixed").select("bucket", "n", F.when(F.col("n") > small, F.col("pivots")).alias("pivots")))
+        sized = members.join(shapes, "bucket")
+        few = sized.where(F.col("n") <= small)
+        sides = [few.select("bucket", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"]
+        inner = sides[0].join(sides[1], "bucket").where("a < b and label_a != label_b").select("a", "b")
+        crowded = sized.where(F.col("n") > small).withColumn("is_pivot", F.array_contains("pivots", F.col("node")))
+        crowded = crowded.select("bucket", "node", "label", "is_pivot", F.posexplode("pivots").alias("at", "pivot"))
+        crowded = cut_lineage(crowded.withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}))
+        pairs = inner.unionByName(crowded.where("a != b").select("a", "b")).distinct()
+        measured = stored(distances(pairs).select("a", "b", "distance"))
         found = measured.where(F.col("distance") <= reach)
         links = found if links is None else links.unionByName(found)
         if crowded.isEmpty():
             return links
-        far = crowded.select("bucket", "node", "pivot", *ends).join(measured, ["a", "b"])
-        far = far.join(chosen.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")), ["bucket", "node"], "left")
-        far = far.where("is_pivot is null").select("bucket", "node", "pivot", "distance")
-        beyond = F.min(F.when(F.col("distance") > reach, F.col("distance"))).alias("beyond")
-        nearest = far.groupBy("bucket", "pivot").agg(beyond)
-        free = (F.col("distance") <= reach) & (F.col("beyond").isNull() | (F.col("distance") + reach < F.col("beyond")))
-        judged = far.join(nearest, ["bucket", "pivot"]).groupBy("bucket", "node").agg(F.max(free).alias("free"))
-        members, pivots = cut_lineage(judged.where("not free").select("bucket", "node")), small
+        turn += 1
+        members, pivots = _unsettled(crowded, measured, reach, pivots, turn), small if pivots == 1 else MOST_PIVOTS
         if members.isEmpty():
             return links
 
 
+def _unsettled(crowded: DataFrame, measured: DataFrame, reach: float, pivots: int, turn: int) -> DataFrame:
+    """(bucket, node, label) of nodes that may still be within reach of a node of another class of their bucket.
+
+    Per bucket: a bit per pivot says which labels are linked to it, and closing these sets over each other gives the
+    classes. All that a bucket's nodes share is sums of fixed size (``pivots`` masks, ``pivots`` distances).
+    """
+    measured = measured.withColumnsRenamed({"a": "x", "b": "y"})
+    far = crowded.join(measured, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
+    step = F.struct("at", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    seen = far.groupBy("bucket", "node", "label", "is_pivot").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    mask = F.aggregate(
+        "steps", F.lit(0).cast("long"), lambda m, s: F.when(s["distance"] <= reach, m + F.call_function("shiftleft", F.lit(1).cast("long"), s["at"])).otherwise(m)
+    )
+    seen = cut_lineage(seen.select("bucket", "node", "label", "is_pivot", F.col("steps.distance").alias("far"), mask.alias("mask")))
+    labels = cut_lineage(seen.groupBy("bucket", "label").agg(F.bit_or("mask").alias("mask")))
+    touching = [F.coalesce(F.bit_or(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col("mask"))), F.lit(0).cast("long")) for i in range(pivots)]
+    # Warshall: rows that reach pivot k reach all that k reaches.
+    closed = F.expr(
+        f"aggregate(sequence(0, {pivots - 1}), touching, (rows, k) -> "
+        "transform(rows, r -> if((r & shiftleft(1L, k)) != 0, r | rows[k], r)))"
+    )
+    closed = labels.groupBy("bucket").agg(F.array(*touching).alias("touching")).select("bucket", closed.alias("closed"))
+    closed = cut_lineage(closed)
+    own = F.expr("get(filter(closed, r -> (r & mask) != 0), 0)")
+    classes = labels.join(closed, "bucket").select("bucket", "label", F.coalesce(own, F.lit(0).cast("long")).alias("class"))
+    named = cut_lineage(seen.join(classes, ["bucket", "label"]))
+    outside = [
+        F.min(F.when(~F.col("is_pivot") & (F.col("class").bitwiseAND(F.lit(1 << i)) == 0), F.get("far", F.lit(i)))) for i in range(pivots)
+    ]
+    beyond = cut_lineage(named.groupBy("bucket").agg(F.array(*outside).alias("beyond")))
+    free = F.expr(
+        f"exists(sequence(0, size(far) - 1), i -> far[i] <= {reach!r} and (beyond[i] is null or far[i] + {reach!r} < beyond[i]))"
+    )
+    # Labels of the classes of one round differ from those of other rounds and (but for 64-bit chance) from nodes.
+    label = F.when(F.col("class") == 0, F.col("label")).otherwise(F.xxhash64("bucket", "class", F.lit(turn)))
+    rest = named.join(beyond, "bucket").where(~F.col("is_pivot") & ~free)
+    return stored(rest.select("bucket", "node", label.alias("label")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of the links (a, b); a component is named by its smallest node.
 
@@ -62,7 +107,7 @@ def components(links: DataFrame) -> DataFrame:
     longest chain.
     """
     both = links.select("a", "b").where("a != b")
-    edges = cut_lineage(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stored(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -70,7 +115,7 @@ def components(links: DataFrame) -> DataFrame:
         large = around.join(least, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("least")).withColumnRenamed("a", "of")
         small = large.join(down, F.col("a") == F.col("of")).where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        edges = cut_lineage(small.unionByName(down.select(F.col("of").alias("a"), F.col("least").alias("b"))).distinct())
+        edges = stored(small.unionByName(down.select(F.col("of").alias("a"), F.col("least").alias("b"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
