@@ -12,6 +12,7 @@ from stripgrid.llm.common import stored
 
 SMALL = 32
 MOST_PIVOTS = 62  # a bit of a long each
+BLOCK_NODES, BLOCK_SIZE = 128, 2**20
 
 
 def linked_pairs(
@@ -99,6 +100,36 @@ def _unsettled(crowded: DataFrame, measured: DataFrame, reach: float, pivots: in
     return stored(rest.select("bucket", "node", label.alias("label")))
 
 
+def crowds(members: DataFrame, groups: DataFrame, sizes: DataFrame, small: int = SMALL) -> DataFrame:
+    """Pairs of blocks that between them hold every pair of a connected group once: (unit, only, low, high, node, is_low).
+
+    For groups that touch a bucket of more than ``small`` nodes, where ``linked_pairs`` leaves pairs out. ``members``: distinct (bucket,
+    node); ``groups``: (node, component) of their links; ``sizes``: (node, size). Linked nodes that share a bucket are in
+    one group, so pairs are looked for inside a group only: the group is one unit (``only`` is null), unless its buckets one by
+    one hold fewer pairs; then each is a unit and ``only`` is that bucket, as two nodes may meet in several. A unit is cut in blocks of
+    about ``BLOCK_NODES`` nodes and ``BLOCK_SIZE`` of size, and each node goes to all pairs of its block with another.
+    """
+    grouped = groups.join(sizes, "node")
+    placed = members.join(grouped, "node", "left")
+    parts = cut_lineage(placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")))
+    full = parts.groupBy("bucket").agg((F.sum("n") > small).alias("full"))
+    parts = parts.where("component is not null")
+    spread = parts.join(full, "bucket").groupBy("component").agg(F.max("full").alias("full"), F.sum(F.col("n") * F.col("n")).alias("spread"))
+    whole = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    chosen = cut_lineage(whole.join(spread.where("full"), "component").withColumn("whole", F.col("n") * F.col("n") <= F.col("spread")))
+    cuts = lambda: F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("size") / BLOCK_SIZE)).cast("int").alias("cuts")
+    one = groups.join(chosen.where("whole").select("component", cuts()), "component").select(
+        F.col("component").alias("unit"), F.lit(None).cast("long").alias("only"), "node", "cuts"
+    )
+    split = parts.where("n > 1").join(chosen.where("not whole").select("component"), "component").select("component", "bucket", cuts())
+    several = placed.select("bucket", "component", "node").join(split, ["component", "bucket"])
+    several = several.select(F.xxhash64("component", "bucket").alias("unit"), F.col("bucket").alias("only"), "node", "cuts")
+    units = one.unionByName(several).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
+    units = units.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
+    ends = {"low": F.least("block", "other"), "high": F.greatest("block", "other"), "is_low": F.col("block") <= F.col("other")}
+    return cut_lineage(units.withColumns(ends).select("unit", "only", "low", "high", "node", "is_low"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of the links (a, b); a component is named by its smallest node.
 

@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stripgrid.functions.lineage import cut_lineage
 from stripgrid.llm.common import fresh
-from stripgrid.llm.groups import components, linked_pairs
+from stripgrid.llm.groups import components, crowds, linked_pairs
 
 CACHED = 300_000
+COLUMNS = 4096
 
 
 def band_count(threshold: float, rows: int, recall: float) -> int:
@@ -81,6 +83,30 @@ def jaccard(a: bytes, b: bytes) -> float:
     return common / (len(both) - common)
 
 
+def in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each set of b."""
+    out = np.zeros((len(a), len(b)), np.float32)  # exact up to 2^24
+    x, y = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(x, y)
+
+    def places(values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(shared, values)
+        held = np.nonzero(shared[np.minimum(at, len(shared) - 1)] == values)[0]
+        held = held[np.argsort(at[held], kind="stable")]
+        return rows[held], at[held]
+
+    if len(shared):
+        sides = [places(x, a), places(y, b)]
+        for first in range(0, len(shared), COLUMNS):
+            found = []
+            for (rows, at), sets in zip(sides, (a, b)):
+                part = slice(*np.searchsorted(at, (first, first + COLUMNS)))
+                found.append(np.zeros((len(sets), min(COLUMNS, len(shared) - first)), np.float32))
+                found[-1][rows[part], at[part] - first] = 1
+            out += found[0] @ found[1].T
+    return out
+
+
 def row_id(frame: DataFrame, key: str, text: str):
     """Rows that agree in key and text share it."""
     return F.xxhash64(key, F.lit("|"), text)
@@ -94,6 +120,8 @@ def similar(
     threshold: float = 0.8,
     rows: int = 5,
     recall: float = 0.999,
+    count_all: bool = True,
+    list_all: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Join texts with texts whose n-gram sets have a Jaccard similarity of ``threshold`` or more.
 
@@ -104,7 +132,10 @@ def similar(
     Rows with equal sets become one node before anything is compared. Nodes are shuffled by band hashes; the bands are
     chosen so that a pair at the threshold is found with probability ``recall``; every link is verified on the full
     sets. In a bucket of more than 32 different sets, sets are measured against pivots (``groups.linked_pairs``): the
-    groups are those of all pairs, the links between near copies of one pivot are implied and not listed.
+    groups are those of all pairs. For groups that touch such a bucket all pairs are then verified block by block (``groups.crowds``),
+    so ``n_links`` counts every link whatever the bucket sizes; only the counts are written. ``links`` lists all links of other groups,
+    and of these groups those that connect them; with ``list_all`` it lists all, which are n * n / 2 for n near copies.
+    Without ``count_all``, ``n_links`` counts the listed links only, which is enough to tell whether there are any.
 
     Null and empty texts have no n-grams: each such row is its own group with no links. Shorter texts have one n-gram. Rows that agree in
     key and text are copies. Other columns are not read. An empty table gives empty results. A null key is a key that is
@@ -149,6 +180,38 @@ def similar(
             far = [1.0 - jaccard(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(far, pa.float64())], names=["a", "b", "distance"])
 
+    def linked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Nodes of the two blocks, their links, similarities, and if both are one block (then each link is there both ways)."""
+        only, one = group["only"][0].as_py(), group["low"][0].as_py() == group["high"][0].as_py()
+        sides = [group.filter(group["is_low"])]
+        sides.append(sides[0] if one else group.filter(pc.invert(group["is_low"])))
+        names = [x["node"].to_numpy() for x in sides]
+        if not len(names[0]) or not len(names[1]):
+            return *names, np.zeros((len(names[0]), len(names[1])), bool), np.zeros(0), one
+        sets = [[np.frombuffer(y, np.uint64) for y in x["grams"].to_pylist()] for x in sides]
+        common = in_common(*sets).astype(np.float64)
+        size = [np.array([len(y) for y in x], np.float64) for x in sets]
+        near = common / (size[0][:, None] + size[1][None] - common)
+        links = 1.0 - near <= 1 - threshold + 1e-12
+        if only is not None:  # a pair counts in the first bucket that it shares
+            before = [[np.array([z for z in y if z < only], np.int64) for y in x["buckets"].to_pylist()] for x in sides]
+            links &= in_common(*before) == 0
+        if one:
+            np.fill_diagonal(links, False)
+        return *names, links, near, one
+
+    def count_links(group: pa.Table) -> pa.Table:
+        a, b, links, _, one = linked(group)
+        names, counts = (a, links.sum(1)) if one else (np.concatenate((a, b)), np.concatenate((links.sum(1), links.sum(0))))
+        return pa.table({"node": pa.array(names, pa.int64()), "n_links": pa.array(counts, pa.int64())})
+
+    def list_links(group: pa.Table) -> pa.Table:
+        a, b, links, near, one = linked(group)
+        i, j = np.nonzero(np.triu(links) if one else links)
+        ends = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+        far = 1.0 - near[i, j] if len(i) else np.zeros(0)
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64()), "distance": pa.array(far, pa.float64())})
+
     texts = frame.select(F.col(key).alias("key"), row_id(frame, key, text).alias("row_id"), F.col(text).alias("text"))
     base = cut_lineage(texts.mapInArrow(sign, schema))
     named = F.struct(F.col("key").isNull().alias("no_key"), "key")
@@ -183,6 +246,17 @@ def similar(
     groups = components(pairs)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    if count_all or list_all:
+        blocks = crowds(members, groups, sizes)
+        buckets = members.join(blocks.where("only is not null").select("node").distinct(), "node")
+        buckets = buckets.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+        filled = blocks.join(grams, "node").join(buckets, "node", "left").groupBy("unit", "low", "high")
+        ours = blocks.select("node").distinct()
+        exact = filled.applyInArrow(count_links, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+        degree = cut_lineage(degree.join(ours, "node", "left_anti").unionByName(exact))
+    if list_all:
+        others = pairs.join(ours, pairs["a"] == ours["node"], "left_anti")
+        pairs = others.unionByName(filled.applyInArrow(list_links, "a long, b long, distance double"))
     grouped = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = cut_lineage(grouped.join(degree, "node", "left"))
     classes = grouped.groupBy("component").agg(F.min("first").alias("class"))
@@ -218,7 +292,7 @@ def keep_one(frame: DataFrame, key: str = "doc_id", text: str = "text", **option
     Of rows that agree in key and text, one stays. Rows without words are groups of their own and all stay. Columns
     are those of the frame.
     """
-    documents, _ = similar(frame, key, text, **options)
+    documents, _ = similar(frame, key, text, **{"count_all": False} | options)
     documents = documents.withColumn("first", F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "row_id"))
     wordless = documents.where("n_links = 0 and copies = 1").select("row_id")
     grouped = documents.where("n_links > 0 or copies > 1")

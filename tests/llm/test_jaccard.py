@@ -55,6 +55,31 @@ def test_crowded_bucket_keeps_groups(spark):
     assert links.count() < 60 * 59 and links.where("similarity < 0.8").count() == 0
 
 
+def brute_links(found):
+    pairs = [(a, b) for a, b in combinations(found, 2) if len(found[a] & found[b]) >= 0.8 * len(found[a] | found[b])]
+    return {k: sum(k in x for x in pairs) for k in found}, pairs
+
+
+def test_crowded_bucket_counts_all_links(spark):
+    """300 texts near one base (several blocks), in two classes: every link counts, and can be listed."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:i] + [f"y{i}"] + base[i + 1 :] + [f"z{j}" for j in range(i % 2 * 60)])) for i in range(300)]
+    wanted, pairs = brute_links(sets(rows))
+    documents, links = similar(spark.createDataFrame(rows, "doc_id long, text string"), list_all=True)
+    assert {x["doc_id"]: x["n_links"] for x in documents.collect()} == wanted and min(wanted.values()) > 32
+    assert sorted(tuple(sorted((x["a_id"], x["b_id"]))) for x in links.collect()) == sorted(pairs)
+
+
+def test_crowded_chain_counts_all_links(spark):
+    """A long chain of texts, each near its neighbours only: one group, whose buckets are the units."""
+    rows = [(i, " ".join(f"w{j}" for j in range(2 * i, 2 * i + 300))) for i in range(500)]
+    wanted, _ = brute_links(sets(rows))
+    documents, _ = similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {x["doc_id"]: x["n_links"] for x in documents.collect()}
+    total = sum(wanted.values())
+    assert all(found[k] <= n for k, n in wanted.items()) and sum(found.values()) >= 0.998 * total
+
+
 def test_keep_one(spark):
     words = " ".join(f"w{i}" for i in range(100))
     rows = [(5, words), (5, words), (3, words + " end"), (9, "alone and different from all the others"), (1, None), (1, None), (None, words)]
