@@ -117,7 +117,7 @@ def nearest(
 ) -> DataFrame:
     """The k rows of ``frame`` with the largest cosine for each row of ``queries``: (query_id, rank, vec_id, score).
 
-    The index is fitted on about ``SAMPLE`` distinct rows drawn by a hash of the key: up to ``MOST_LISTS`` centres, one per
+    Rows that agree in key and vector are one row. The index is fitted on about ``SAMPLE`` of these, drawn by a hash of both: up to ``MOST_LISTS`` centres, one per
     ``LIST_ROWS`` rows. Every row is put in its nearest list, and in up to ``REPLICAS`` lists whose distance is within
     ``BOUNDARY`` x the nearest. A query takes the lists that a search of the centres' graph finds within ``RATIO`` x the nearest distance,
     and more lists while those hold too few rows. Long lists are cut in blocks of ``BLOCK`` rows and the queries of a
@@ -128,13 +128,13 @@ def nearest(
     answer; rows with the same key count once, with their best score. Null, zero and non-finite vectors, and rows
     with a null key, take no part on either side. With fewer than k candidates, all that are found are returned; empty tables give no rows.
     """
-    rows = cut_lineage(valid_vectors(frame, key, vector))
+    rows = cut_lineage(valid_vectors(frame, key, vector).distinct())
     asked = valid_vectors(queries, key, vector)
     n = rows.count()
     empty = "query_id long, rank int, vec_id long, score double"
     if not n:
         return frame.sparkSession.createDataFrame([], empty)
-    share = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) < min(1.0, SAMPLE / n) * 1_000_000
+    share = F.pmod(F.xxhash64("key", "vector", F.lit(seed)), F.lit(1_000_000)) < min(1.0, SAMPLE / n) * 1_000_000
     sample = rows.where(share).select("vector").toArrow()["vector"].combine_chunks()
     if not len(sample):
         sample = rows.limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
@@ -203,8 +203,11 @@ def nearest(
             rough = unit_rows(wanted) @ (points / lengths[:, None]).T
             for i, name in enumerate(names):
                 near = np.nonzero(keys != name)[0]
-                if len(near) > k:
-                    least = np.partition(rough[i, near], len(near) - k)[len(near) - k]
+                _, of = np.unique(keys[near], return_inverse=True)
+                tops = np.full(of.max(initial=-1) + 1, -np.inf)  # the best score of each key
+                np.maximum.at(tops, of, rough[i, near])
+                if len(tops) > k:
+                    least = np.partition(tops, len(tops) - k)[len(tops) - k]
                     near = near[rough[i, near] >= least - 1e-9]
                 exact = (points[near] * wanted[i]).sum(1) / (lengths[near] * np.sqrt((wanted[i] * wanted[i]).sum()))
                 best = np.lexsort((keys[near], -exact))

@@ -67,3 +67,18 @@ def test_one_vector_fills_a_third(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = nearest(frame.where("vec_id = 1500"), frame).orderBy("rank").collect()
     assert [x["vec_id"] for x in found] == [0, 3, 6, 9, 12]
+
+
+def test_repeats_of_a_near_row_leave_room_for_other_keys(spark):
+    """One key fills a third of the rows, with one vector many times and with many vectors."""
+    draw = np.random.default_rng(7)
+    rows = [(i, [1.0, 0.01 * i, 0.0]) for i in range(1, 9)]
+    rows += [(100, [1.0, 0.001, 0.0])] * 400 + [(101, [1.0, 1e-4 * x, 0.0]) for x in draw.random(400).tolist()]
+    rows += [(200 + i, draw.normal(size=3).tolist()) for i in range(800)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    best = {}
+    for key, v in rows:
+        best[key] = max(best.get(key, -2.0), v[0] / float(np.linalg.norm(v)))
+    wanted = sorted(best, key=lambda x: (-best[x], x))[:5]
+    assert [x["vec_id"] for x in nearest(queries, frame).orderBy("rank").collect()] == wanted
