@@ -112,22 +112,27 @@ class Scanner:
             template = self.templates[name]
             if len(at) < self.coverage * len(template):
                 continue
-            for start, end in self.windows(at, len(template)):
-                left = start
-                while left < end:  # one window may hold several notices, one after the other
+            for window in self.windows(at, len(template)):
+                starts, known = [i for i in at if window[0] <= i < window[1]], {}
+                stretches = [window]
+                while stretches:  # one window may hold several notices: beside the best one, both sides may hold more
+                    left, right = stretches.pop()
                     best = None
-                    for first in [i for i in at if left <= i < end]:
-                        part = words[first : first + len(template) + len(template) // 2 + 1]
-                        pairs = align(part, template, first)
-                        share = len(pairs) / len(template)
+                    for first in starts[bisect_left(starts, left) : bisect_left(starts, right)]:
+                        last = min(first + len(template) + len(template) // 2 + 1, right)
+                        if last - first < self.coverage * len(template):
+                            break
+                        if (first, last) not in known:
+                            pairs = align(words[first:last], template, first)
+                            known[first, last] = (len(pairs) / len(template), pairs[0][0], pairs[-1][0] + 1) if pairs else (0.0, first, first)
+                        share = known[first, last][0]
                         if share >= self.coverage and (best is None or share > best[1] + 1e-9):
-                            best = (name, share, pairs[0][0], pairs[-1][0] + 1)
+                            best = (name, *known[first, last])
                             if share == 1.0:
                                 break
-                    if best is None:
-                        break
-                    found.append(best)
-                    left = best[3]
+                    if best is not None:
+                        found.append(best)
+                        stretches += [(left, best[2]), (best[3], right)]
         kept: list[tuple[str, float, int, int]] = []
         for x in sorted(found, key=lambda x: (-x[1], -(len(self.templates[x[0]])), x[2], x[0])):
             if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):

@@ -39,6 +39,14 @@ def test_gaps_repeats_and_places(spark):
     assert row["spans"][0]["start"] == 3000 and 0.8 <= row["spans"][0]["coverage"] < 1
 
 
+def test_imperfect_notices_before_a_perfect_one(spark):
+    one, many = "Released under the MIT licence. Released under the MIT License.", "Released under the MIT licence. " * 20
+    rows = [(1, one), (2, many + "Released under the MIT License. " + many)]
+    found = {x["doc_id"]: x for x in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(x["coverage"], x["start"], x["end"]) for x in found[1]["spans"]] == [(0.8, 0, 4), (1.0, 5, 10)]
+    assert found[2]["licenses"] == ["MIT"] * 41 and [x["start"] for x in found[2]["spans"]] == list(range(0, 205, 5))
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = scan_licenses(odd_documents).collect()
     assert len(rows) == odd_documents.count() and all(x["best"] is None and x["coverage"] == 0 for x in rows)
