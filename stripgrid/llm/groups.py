@@ -12,7 +12,7 @@ from stripgrid.llm.common import stored
 
 SMALL = 32
 MOST_PIVOTS = 62  # a bit of a long each
-BLOCK_NODES, BLOCK_SIZE = 128, 2**20
+BLOCK_NODES, BLOCK_SIZE = 512, 2**20
 
 
 def linked_pairs(

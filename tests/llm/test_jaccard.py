@@ -1,6 +1,7 @@
 from collections import defaultdict
 from itertools import combinations
 
+from stripgrid.llm import groups
 from stripgrid.llm.jaccard import Shingles, band_count, keep_one, similar
 from stripgrid.llm.queries import op2_jaccard_join
 
@@ -60,8 +61,9 @@ def brute_links(found):
     return {k: sum(k in x for x in pairs) for k in found}, pairs
 
 
-def test_crowded_bucket_counts_all_links(spark):
+def test_crowded_bucket_counts_all_links(spark, monkeypatch):
     """300 texts near one base (several blocks), in two classes: every link counts, and can be listed."""
+    monkeypatch.setattr(groups, "BLOCK_NODES", 64)
     base = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(base[:i] + [f"y{i}"] + base[i + 1 :] + [f"z{j}" for j in range(i % 2 * 60)])) for i in range(300)]
     wanted, pairs = brute_links(sets(rows))
