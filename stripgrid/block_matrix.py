@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.monoids import monoid
 from .layout import Packed, Wide, explode_cells
-from .operators import block_reductions
+from .operators import block_products, block_reductions
 from .operators.reductions import root_of_squares
 from .row_matrix import INT_MAX, RowMatrix, bounds, reciprocal
 
@@ -32,6 +32,11 @@ class Steps:
     def block_of(self, line: int) -> int:
         return 0 if line < self.lead else 1 + (line - self.lead) // self.size
 
+    def edges(self, size: int) -> list[int]:
+        """Start of every block of ``size`` lines, and the end of the last one."""
+        blocks = self.block_of(size - 1) + 1 if size else 0
+        return [self.start(block) for block in range(blocks)] + [size]
+
     def after(self, line: int) -> Steps:
         """Boundaries of what is left when everything before ``line`` is cut off."""
         return Steps(self.start(self.block_of(line) + 1) - line, self.size)
@@ -45,7 +50,10 @@ class BlockMatrix:
     """
 
     def __init__(
-        self, df: DataFrame, dim: tuple[int, int] | None = None, steps: tuple[Steps | None, Steps | None] = (None, None)
+        self,
+        df: DataFrame,
+        dim: tuple[int, int] | Callable[[], tuple[int, int]] | None = None,
+        steps: tuple[Steps | None, Steps | None] = (None, None),
     ):
         self.df = df.select(*POSITION, "vals")
         self._dim = dim
@@ -62,6 +70,9 @@ class BlockMatrix:
 
     @property
     def dim(self) -> tuple[int, int]:
+        """Size. Where it isn't known, ``dim`` may be a function that finds it more cheaply than the blocks would."""
+        if callable(self._dim):
+            self._dim = self._dim()
         if self._dim is None:
             row = self.dims().head()
             self._dim = (row.n_rows, row.n_cols)
@@ -95,6 +106,15 @@ class BlockMatrix:
         panels = self.df.select("block_col", "col_start", "n_cols").distinct().orderBy("block_col").collect()
         return [tuple(row) for row in panels]
 
+    def row_panels(self) -> list[tuple[int, int, int]]:
+        """``(block_row, row_start, n_rows)`` per block row: by arithmetic where the boundaries are known, else one entry
+        per block row from the positions."""
+        if self.row_steps is not None:
+            edges = self.row_steps.edges(self.n_rows)
+            return [(i, start, end - start) for i, (start, end) in enumerate(zip(edges, edges[1:]))]
+        panels = self.df.select("block_row", "row_start", "n_rows").distinct().orderBy("block_row").collect()
+        return [tuple(row) for row in panels]
+
     # -- element-wise ------------------------------------------------------------------------------------
 
     def map_elements(self, fn: Callable[[Column], Column]) -> BlockMatrix:
@@ -139,6 +159,39 @@ class BlockMatrix:
         joined = self.df.join(right, ["block_row", "block_col"], "full_outer")
         return BlockMatrix(joined.select(*POSITION, vals.alias("vals")), self._dim, self.steps)
 
+    # -- products ----------------------------------------------------------------------------------------
+
+    def transpose(self) -> BlockMatrix:
+        """Blocks change places and are turned inside; nothing is shuffled."""
+        dim = self._dim if self._dim is None or callable(self._dim) else self._dim[::-1]
+        if callable(dim):
+            dim = lambda: self.dim[::-1]
+        return BlockMatrix(block_products.transpose(self.df), dim, self.steps[::-1])
+
+    @property
+    def T(self) -> BlockMatrix:
+        return self.transpose()
+
+    def multiply(self, other: BlockMatrix, tile: int = block_products.TILE, groups: int | None = None) -> BlockMatrix:
+        """Matrix product. The column blocks of this matrix must be cut like the row blocks of the other.
+
+        ``tile`` is the side of the result tiles that a task adds into, ``groups`` the number of parts of the inner
+        dimension whose sums meet in a second shuffle (see ``operators.block_products``).
+        """
+        if not isinstance(other, BlockMatrix):
+            raise TypeError("a block matrix can be multiplied by a block matrix")
+        if self.n_cols != other.n_rows:
+            raise ValueError(f"cannot multiply {self.n_rows} x {self.n_cols} by {other.n_rows} x {other.n_cols}")
+        shape, inner = (self.n_rows, other.n_cols), self.n_cols
+        if self.col_steps and other.row_steps and self.col_steps.edges(inner) != other.row_steps.edges(inner):
+            raise ValueError("cut both sides at the same inner positions before multiplying")
+        left, right = block_products.left_blocks(self.df), block_products.right_blocks(other.df)
+        blocks = block_products.multiply(left, right, shape, inner, tile, groups)
+        return BlockMatrix(blocks, shape, (self.row_steps, other.col_steps))
+
+    def __matmul__(self, other: BlockMatrix) -> BlockMatrix:
+        return self.multiply(other)
+
     # -- selection ---------------------------------------------------------------------------------------
 
     def __getitem__(self, ranges) -> BlockMatrix:
@@ -151,7 +204,8 @@ class BlockMatrix:
             return self
         start, stop = bounds(rows)
         stop = INT_MAX * INT_MAX if stop is None else stop
-        kept = self.df.filter((F.col("row_start") < stop) & (F.col("row_start") + F.col("n_rows") > start))
+        kept = self.df.filter(_blocks_between("block_row", self.row_steps, start, stop))
+        kept = kept.filter((F.col("row_start") < stop) & (F.col("row_start") + F.col("n_rows") > start))
         low = F.greatest(F.lit(start) - F.col("row_start"), F.lit(0)).cast("int")
         high = F.least(F.lit(stop) - F.col("row_start"), F.col("n_rows").cast("bigint")).cast("int")
         cut = kept.withColumns({"low": low, "height": F.greatest(high - low, F.lit(0))})
@@ -174,7 +228,8 @@ class BlockMatrix:
             return self
         start, stop = bounds(cols)
         stop = INT_MAX * INT_MAX if stop is None else stop
-        kept = self.df.filter((F.col("col_start") < stop) & (F.col("col_start") + F.col("n_cols") > start))
+        kept = self.df.filter(_blocks_between("block_col", self.col_steps, start, stop))
+        kept = kept.filter((F.col("col_start") < stop) & (F.col("col_start") + F.col("n_cols") > start))
         low = F.greatest(F.lit(start) - F.col("col_start"), F.lit(0)).cast("int")
         high = F.least(F.lit(stop) - F.col("col_start"), F.col("n_cols").cast("bigint")).cast("int")
         cut = kept.withColumns({"low": low, "width": F.greatest(high - low, F.lit(0))})
@@ -333,6 +388,15 @@ def block_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def _blocks_between(name: str, steps: Steps | None, start: int, stop: int) -> Column:
+    """Element bounds as bounds on block ids, where boundaries are known: these prune folders and row groups of stored
+    blocks, and they are on a grouping key of ``to_grid``, so they are applied before its shuffle."""
+    if steps is None:
+        return F.lit(True)
+    last = min(steps.block_of(stop - 1), INT_MAX) if stop > start else -1
+    return (F.col(name) >= min(steps.block_of(start), INT_MAX)) & (F.col(name) <= last)
+
+
 def _first(kept: DataFrame, name: str, steps: Steps | None, line: int) -> Column:
     """Id of the first kept block."""
     return F.lit(steps.block_of(line)).cast("int") if steps else _least(kept, name)

@@ -167,6 +167,72 @@ def pair_spectrum() -> str:
       v AS (SELECT *, sqrt(mid + gap) AS hi, sqrt((g00 * g11 - g01 * g01) / (mid + gap)) AS lo FROM e)"""
 
 
+def pair_svd() -> str:
+    """Singular values and right vectors of (price, group7), whose Gram matrix is positive: with signs by the largest entry,
+    the first vector is positive and the second turns it by a quarter."""
+    return f"""s AS ({sums(gram_columns(['price', 'group7']), ORDERS)}),
+      e AS (SELECT *, (g00 + g11) / 2 AS mid, sqrt(((g00 - g11) / 2) * ((g00 - g11) / 2) + g01 * g01) AS gap FROM s),
+      l AS (SELECT *, sqrt(mid + gap) AS hi, sqrt((g00 * g11 - g01 * g01) / (mid + gap)) AS lo, g01 AS x,
+        mid + gap - g00 AS y FROM e),
+      n AS (SELECT hi, lo, x / sqrt(x * x + y * y) AS a, y / sqrt(x * x + y * y) AS b FROM l),
+      v AS (SELECT *, CASE WHEN a >= b THEN -b ELSE b END AS c, CASE WHEN a >= b THEN a ELSE -a END AS d FROM n)"""
+
+
+def pair_u() -> str:
+    return f"""WITH {pair_svd()}
+      SELECT row_id AS i, CAST(0 AS INTEGER) AS j, {neat('(price * a + group7 * b) / hi', 9)} AS value FROM {ORDERS} AS o, v
+      UNION ALL SELECT row_id, CAST(1 AS INTEGER), {neat('(price * c + group7 * d) / lo', 9)} FROM {ORDERS} AS o, v"""
+
+
+PRIME, MIX = 2147483647, (48271, 69621, 40692, 16807, 39373)
+
+
+def drawn(key: str, step: str, seed: int, fraction: float) -> str:
+    """The sampling rule of the gradient steps, in integer arithmetic."""
+    k = f"(({key} % {PRIME} + {MIX[2]} * (({key} // {PRIME}) % {PRIME})) % {PRIME})"
+    a = f"(({MIX[0]} * {k} + {MIX[1]} * {step} + {seed}) % {PRIME})"
+    b = f"(({a} * {a} + {MIX[3]} * {a} + {step}) % {PRIME})"
+    return f"(({b} * {b} + {MIX[4]} * {b} + {k}) % {PRIME}) / {float(PRIME)}::DOUBLE < {fraction}"
+
+
+def sampled_gradient(lams: list[float], steps: int, rate: float, seed: int = 42, fraction: float = 0.5) -> str:
+    """Steps on the moments of (one, group7, price) of half the orders, drawn anew for each step."""
+    columns = gram_columns(["one", "group7"]) | {"c0": "one * price", "c1": "group7 * price"}
+    step = f"({rate} / sqrt(m.t::DOUBLE))"
+    x0 = f"x0 * (1 - {step} * lam) - {step} * (g00 * x0 + g01 * x1 - c0) / n AS x0"
+    x1 = f"x1 * (1 - {step} * lam) - {step} * (g01 * x0 + g11 * x1 - c1) / n AS x1"
+    rows = [
+        f"SELECT lam, CAST({j} AS INTEGER) AS j, CAST(0 AS INTEGER) AS rhs, {neat(f'x{j}', 9)} AS x FROM w WHERE t = {steps}"
+        for j in range(2)
+    ]
+    listed = ", ".join(f"sum({expression}) AS {name}" for name, expression in columns.items())
+    return f"""WITH RECURSIVE m AS (SELECT t, {listed}, count(*)::DOUBLE AS n
+        FROM {ORDERS} AS o, range(1, {steps + 1}) AS r(t) WHERE {drawn('row_id', 't', seed, fraction)} GROUP BY t),
+      w AS (SELECT lam, 0::BIGINT AS t, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS x1 FROM {lambda_rows(lams)}
+        UNION ALL SELECT lam, m.t AS t, {x0}, {x1} FROM w JOIN m ON m.t = w.t + 1)
+    """ + " UNION ALL ".join(rows)
+
+
+def sampled_gradient_wide(lam: float, steps: int, rate: float, seed: int = 42, fraction: float = 0.5) -> str:
+    """Embedding column 0 on the other 63, cell by cell: one pair of aggregates for each step."""
+    parts = [
+        f"c AS (SELECT i, CAST(j - 1 AS INTEGER) AS j, value FROM {CELLS} WHERE j > 0)",
+        f"y AS (SELECT i, value AS b FROM {CELLS} WHERE j = 0)",
+        "w0 AS (SELECT DISTINCT j, 0.0::DOUBLE AS x FROM c)",
+    ]
+    for t in range(1, steps + 1):
+        step = f"({rate} / sqrt({float(t)}::DOUBLE))"
+        parts += [
+            f"p{t} AS (SELECT y.i, sum(c.value * x) - any_value(b) AS gap FROM y JOIN c ON c.i = y.i JOIN w{t - 1} AS w ON w.j = c.j "
+            f"WHERE {drawn('y.i', str(t), seed, fraction)} GROUP BY y.i)",
+            f"w{t} AS (SELECT c.j, any_value(x) * (1 - {step} * {lam}) - {step} * sum(c.value * gap) / count(*) AS x "
+            f"FROM p{t} AS p JOIN c ON c.i = p.i JOIN w{t - 1} AS w ON w.j = c.j GROUP BY c.j)",
+        ]
+    return (
+        f"WITH {', '.join(parts)} SELECT {lam}::DOUBLE AS lam, j, CAST(0 AS INTEGER) AS rhs, {neat('x', 9)} AS x FROM w{steps}"
+    )
+
+
 def descent(features: list[str], target: str, source: str, lams: list[float], passes: int, digits: int) -> str:
     """Gauss-Seidel on the normal equations: what descent over one-column blocks computes."""
     n = len(features)
@@ -312,6 +378,32 @@ ORACLES: dict[str, str] = {
     "gram_wide": f"""WITH c AS (SELECT * FROM {CELLS})
       SELECT a.j AS i, b.j AS j, {neat('sum(a.value * b.value)', 7)} AS value FROM c AS a JOIN c AS b ON a.i = b.i
       GROUP BY a.j, b.j""",
+    "mat_mul": f"""WITH c AS (SELECT * FROM {CELLS}),
+      g AS (SELECT a.j AS k, b.j AS j, sum(a.value * b.value) AS value FROM c AS a JOIN c AS b ON a.i = b.i GROUP BY a.j, b.j)
+      SELECT c.i, g.j, {neat('sum(c.value * g.value)', 6)} AS value FROM c JOIN g ON c.j = g.k GROUP BY c.i, g.j""",
+    "block_mul": f"""WITH c AS (SELECT * FROM {CELLS})
+      SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, {neat('sum(a.value * b.value)', 7)} AS value FROM c AS a JOIN c AS b ON a.i = b.i
+      GROUP BY a.j, b.j""",
+    "block_transpose": f"SELECT CAST(j AS BIGINT) AS i, CAST(i AS INTEGER) AS j, value FROM {CELLS}",
+    "mat_transpose": f"SELECT CAST(j AS BIGINT) AS i, CAST(i AS INTEGER) AS j, value FROM {CELLS}",
+    "transpose_twice": cells_of(CELLS, "value"),
+    "column_blocks": cells_of(CELLS, "value"),
+    "column_parts": f"SELECT i, CAST(j - 8 AS INTEGER) AS j, value FROM {CELLS} WHERE j >= 8 AND j < 56",
+    "svd_u": pair_u(),
+    "svd_u_direct": pair_u(),
+    "svd_v": f"""WITH {pair_svd()}
+      SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS INTEGER) AS j, {neat('a', 9)} AS value FROM v
+      UNION ALL SELECT 1, 0, {neat('b', 9)} FROM v
+      UNION ALL SELECT 0, 1, {neat('c', 9)} FROM v
+      UNION ALL SELECT 1, 1, {neat('d', 9)} FROM v""",
+    "svd_truncated": f"""WITH {pair_svd()}
+      SELECT row_id AS i, CAST(0 AS INTEGER) AS j, {neat('(price * a + group7 * b) * a', 7)} AS value FROM {ORDERS} AS o, v
+      UNION ALL SELECT row_id, CAST(1 AS INTEGER), {neat('(price * a + group7 * b) * b', 7)} FROM {ORDERS} AS o, v""",
+    "svd_checks": """SELECT * FROM (VALUES ('left', 0.0::DOUBLE), ('right', 0.0::DOUBLE), ('rebuilt', 0.0::DOUBLE),
+      ('rank', 2.0::DOUBLE)) AS c("check", value)""",
+    "norm_two": f"WITH {pair_spectrum()} SELECT {neat('hi', 4)} AS value FROM v",
+    "sgd_mini_batch": sampled_gradient([0.0, 0.1], SGD_STEPS, 0.05),
+    "sgd_mini_batch_wide": sampled_gradient_wide(0.1, 5, 0.5),
     "gram_many_rhs": " UNION ALL ".join(
         f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, sum({x} * {y}) AS value FROM {LINES}"
         for i, x in enumerate(["one", "qty", "disc"])
@@ -374,6 +466,9 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["block_qr_gram"] = ORACLES["gram_wide"]
+ORACLES["gram_tiles"] = ORACLES["gram_wide"]
+ORACLES["mat_mul_rows"] = ORACLES["mat_mul"]
+ORACLES["stored_blocks_slice"] = ORACLES["stored_rows_slice"] = ORACLES["block_slice_both"]
 
 _FOLDS = {"sum": "sum", "prod": "product", "min": "min", "max": "max"}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..block_matrix import BlockMatrix
+from ..functions.lineage import ensure_checkpoint_dir
 from ..layout import Packed
-from ..operators import products, reductions, shape
+from ..operators import block_products, products, reductions, shape
 from ..plans.block_descent import BlockCoordinateDescent
 from ..plans.compare import about_equal, co_partition, max_difference
 from ..plans.least_squares import (
@@ -23,9 +25,10 @@ from ..plans.least_squares import (
     solution_array,
 )
 from ..plans.systems import accuracy_report, linear_systems
-from ..plans.tall_qr import condition_numbers, r_long, singular_values, thin_qr
+from ..plans.tall_qr import condition_numbers, r_long, singular_values, svd, thin_qr, two_norm
 from ..row_matrix import RowMatrix
-from ..sources.grids import from_blocks, to_grid
+from ..sources import storage
+from ..sources.grids import from_blocks, from_column_parts, stack_columns, to_grid
 from ..sources.random import normal_for, uniform_for
 from ..sources.tables import from_arrays, from_columns, from_strips
 
@@ -150,6 +153,43 @@ def from_strip_blocks(spark, folder):
     return from_strips(strips, n_cols=64).to_long()
 
 
+@query
+def column_blocks(spark, folder):
+    """Three column blocks of different widths, each a matrix of its own, side by side in one grid."""
+    matrix = embedding_matrix(spark, folder)
+    return stack_columns([matrix[:, 0:5], matrix[:, 5:40], matrix[:, 40:64]], 37).to_long()
+
+
+@query
+def column_parts(spark, folder):
+    """The same from one table partitioned by columns."""
+    vectors = table(spark, folder, "embeddings")
+    cut = F.posexplode(F.array(*[F.slice("embedding", 16 * p + 1, 16) for p in range(4)])).alias("part", "piece")
+    grid = from_column_parts(vectors.select("vec_id", cut), "part", "vec_id", "piece", 50, parts=range(4))
+    return grid[:, 8:56].to_long()
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stored_blocks_slice(spark, folder):
+    """Blocks written and read again; the slice becomes bounds on block ids."""
+    path = _scratch(spark, "blocks")
+    storage.write_blocks(embedding_grid(spark, folder), path)
+    grid = storage.read_blocks(spark, path)
+    return grid[middle_half(grid.n_rows), 8:24].to_long()
+
+
+@query
+def stored_rows_slice(spark, folder):
+    path = _scratch(spark, "rows")
+    matrix = embedding_matrix(spark, folder)
+    storage.write_rows(matrix, path)
+    return storage.read_rows(spark, path, n_cols=64)[middle_half(matrix.n_rows), 8:24].to_long()
+
+
 @query
 def block_grid(spark, folder):
     grid = embedding_grid(spark, folder)
@@ -515,6 +555,54 @@ def gram_many_rhs(spark, folder):
     return both.filter("i < 3")
 
 
+@query
+def gram_tiles(spark, folder):
+    """The route for very wide matrices, in tiles of 24 columns."""
+    matrix = embedding_matrix(spark, folder)
+    blocks = block_products.gram_blocks(matrix.base, [matrix.cells], tile=24)
+    return rounded(block_products.gram_cells(blocks), 7)
+
+
+def _embedding_gram(spark, folder) -> BlockMatrix:
+    """E'E from a transposed grid times the grid, in result tiles of 40 lines."""
+    grid = embedding_grid(spark, folder)
+    return grid.T.multiply(grid, tile=40)
+
+
+@query
+def block_mul(spark, folder):
+    return rounded(_embedding_gram(spark, folder).to_long(), 7)
+
+
+@query
+def mat_mul(spark, folder):
+    """Rows times blocks: E (E'E)."""
+    product = embedding_matrix(spark, folder).multiply(_embedding_gram(spark, folder), tile=300)
+    return rounded(product.to_long(), 6)
+
+
+@query
+def mat_mul_rows(spark, folder):
+    """Rows times rows."""
+    product = embedding_matrix(spark, folder) @ _embedding_gram(spark, folder).to_rows()
+    return rounded(product.to_long(), 6)
+
+
+@query
+def block_transpose(spark, folder):
+    return embedding_grid(spark, folder).T.to_long()
+
+
+@query
+def mat_transpose(spark, folder):
+    return embedding_matrix(spark, folder).transpose(16, 100).to_long()
+
+
+@query
+def transpose_twice(spark, folder):
+    return embedding_matrix(spark, folder).transpose(16, 100).to_rows().transpose(100, 16).to_long()
+
+
 # -- factorisations ------------------------------------------------------------------------------------------
 
 
@@ -560,6 +648,55 @@ def svd_values(spark, folder):
     return rounded(singular_values(from_columns(line_measures(spark, folder), ["qty", "disc"])), 4, "sigma")
 
 
+def _order_pair(spark, folder) -> RowMatrix:
+    return from_columns(order_measures(spark, folder), ["price", "group7"], row_id="o_orderkey")
+
+
+@query
+def svd_u(spark, folder):
+    return rounded(svd(_order_pair(spark, folder)).u.to_long(), 9)
+
+
+@query
+def svd_u_direct(spark, folder):
+    return rounded(svd(_order_pair(spark, folder), route="direct").u.to_long(), 9)
+
+
+@query
+def svd_v(spark, folder):
+    return rounded(svd(_order_pair(spark, folder)).v_long(), 9)
+
+
+@query
+def svd_truncated(spark, folder):
+    """The best approximation of rank 1, U S V'."""
+    part = svd(_order_pair(spark, folder), rank=1)
+    return rounded(part.u.times_local(part.sigma[:, None] * part.v.T).to_long(), 7)
+
+
+@query
+def svd_checks(spark, folder):
+    """All 64 columns: largest entries of U'U - I, V'V - I and A - U S V'; and the rank found for three columns of which one
+    is a combination of the others."""
+    matrix = embedding_matrix(spark, folder)
+    whole = svd(matrix)
+    identity = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    left = whole.u.gram().agg(F.max(F.abs(F.col("value") - identity)).alias("value"))
+    rebuilt = max_difference(matrix, whole.u.times_local(whole.sigma[:, None] * whole.v.T))
+    right = float(np.abs(whole.v.T @ whole.v - np.eye(len(whole.sigma))).max())
+    measures = order_measures(spark, folder).withColumn("mixed", F.col("one") * 2.0 + F.col("group7"))
+    rank = len(svd(from_columns(measures, ["one", "group7", "mixed"], row_id="o_orderkey")).sigma)
+    checks = left.select(F.lit("left").alias("check"), neat("value", 9).alias("value"))
+    checks = checks.unionByName(rebuilt.select(F.lit("rebuilt").alias("check"), neat("max_abs_diff", 9).alias("value")))
+    local = spark.createDataFrame([("right", right), ("rank", float(rank))], "check string, value double")
+    return checks.unionByName(rounded(local, 9))
+
+
+@query
+def norm_two(spark, folder):
+    return rounded(two_norm(from_columns(line_measures(spark, folder), ["qty", "disc"])), 4)
+
+
 @query
 def block_qr_r(spark, folder):
     grid = to_grid(embedding_matrix(spark, folder)[:, 0:6], 100, 2)

@@ -2,7 +2,7 @@
 
 Every task streams its Arrow batches and keeps only an n x n (or shorter) partial, so a task's memory depends on
 the number of columns and never on how many rows it reads. Rows are not shuffled; only partials are, and the
-fan-in of the tree is bounded.
+fan-in of the tree is bounded, whatever the number of tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import keyed_rows, lists_to_matrix, matrix_of
 from ..functions.dense import positive_r
+from ..functions.lineage import cut_lineage
 from ..layout import LOCAL_WIDTH, Cells
 
 PARTIAL_SCHEMA = "part int, key int, i int, vec array<double>"
 FAN_IN = 32
-WIDE_PARTIAL = 256
+NODE_BYTES = 64 * 2**20
+# From this size on partials are written down and counted before they are merged.
+LARGE_PARTIAL = 512 * 2**10
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,10 @@ class RFactor:
 
     width: int
 
+    @property
+    def cells(self) -> int:
+        return self.width**2
+
     @property
     def gather(self) -> int:
         """Rows to gather before factoring, so that carrying the previous R along stays cheap."""
@@ -54,6 +61,10 @@ class Gram:
     width: int
     gather = 1
 
+    @property
+    def cells(self) -> int:
+        return self.width**2
+
     def start(self, rows: np.ndarray) -> np.ndarray:
         return rows.T @ rows
 
@@ -72,6 +83,7 @@ class ColumnReduce:
     """One row holding op over each column, for any associative and commutative NumPy ufunc."""
 
     op: np.ufunc
+    cells: int = 1024
     gather = 1
 
     def start(self, rows: np.ndarray) -> np.ndarray:
@@ -145,9 +157,6 @@ def fold_rows(
     width = sum(part.width for part in parts)
     columns = [column for part in parts for column in part.columns()]
     fields = frame.select(*([F.col(key)] if key else []), *columns)
-    if width > WIDE_PARTIAL:
-        # Fewer, longer tasks: each task ships one partial of width^2 numbers.
-        fields = fields.coalesce(4 * frame.sparkSession.sparkContext.defaultParallelism)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _Folder(fold)
@@ -160,42 +169,65 @@ def fold_rows(
         for k, state in folder.finish().items():
             yield from keyed_rows({"part": part, "key": k}, state)
 
-    return merge_tree(fields.mapInArrow(partial, PARTIAL_SCHEMA), fold)
+    return merge_tree(fields.mapInArrow(partial, PARTIAL_SCHEMA), fold, fold.cells)
 
 
-def merge_tree(partials: DataFrame, fold) -> DataFrame:
-    """Merge partials level by level; the last level is one task that reads at most FAN_IN partials per key."""
+def merge_tree(partials: DataFrame, fold, cells: int) -> DataFrame:
+    """Merge partials level by level, each node from at most ``fan_in`` children; ``cells`` is the size of one partial.
+
+    A node's children are partials with neighbouring numbers, so a task merges one node after another and keeps one state.
+    Small partials have a large fan-in (64 MiB of them), and one level of nodes comes before the last merge whatever
+    their number. Large partials are written down first; their number then says how many levels there are.
+    """
+    fan_in = max(FAN_IN, NODE_BYTES // (8 * max(1, cells)))
+    levels = 1
+    if 8 * cells > LARGE_PARTIAL:
+        partials = cut_lineage(partials)
+        last = partials.agg(F.max("part")).head()[0]
+        levels = tree_levels(0 if last is None else last + 1, fan_in)
+    for _ in range(levels):
+        nodes = partials.select(F.expr(f"int(part div {fan_in})").alias("part"), "key", "i", "vec", F.col("part").alias("child"))
+        # The order within a node fixes the order in which partials are added, hence the last bits of the result.
+        dealt = nodes.repartition("part").sortWithinPartitions("part", "key", "child", "i").drop("child")
+        partials = dealt.mapInArrow(_merger(fold), PARTIAL_SCHEMA)
+    last = partials.repartition(1).sortWithinPartitions("key", "part", "i")
+    return last.withColumn("part", F.lit(0)).mapInArrow(_merger(fold), PARTIAL_SCHEMA).drop("part")
+
+
+def _merger(fold):
+    """Merges rows that arrive sorted by node; each node is emitted when the next one begins."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: dict[int, np.ndarray] = {}
+        node, states = None, {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = lists_to_matrix(batch.column("vec"))
-            index = batch.column("i").to_numpy()
-            keys = batch.column("key").to_numpy()
-            for k in np.unique(keys):
-                mine = keys == k
-                states[int(k)] = fold.merge(states.get(int(k)), index[mine], rows[mine])
-        part = TaskContext.get().partitionId()
-        for k, state in states.items():
-            yield from keyed_rows({"part": part, "key": k}, state)
-
-    for tasks in tree_levels(partials.sparkSession.sparkContext.defaultParallelism):
-        # Without a fixed number of partitions, adaptive execution joins small ones by their measured size.
-        grouped = partials.repartition(F.col("part") % F.lit(tasks)) if tasks > 1 else partials.repartition(1)
-        # The sort fixes the order in which partials are added, hence the last bits of the result.
-        partials = grouped.sortWithinPartitions("key", "part", "i").mapInArrow(merge, PARTIAL_SCHEMA)
-    return partials.drop("part")
-
-
-def tree_levels(parallelism: int) -> list[int]:
-    """Numbers of merge groups per level; each is at most FAN_IN times the next."""
-    levels = []
-    tasks = parallelism
-    while tasks > FAN_IN:
-        levels.append(tasks)
-        tasks = -(-tasks // FAN_IN)
-    if levels and tasks > 1:
-        levels.append(tasks)
-    return levels + [1]
+            nodes = batch.column("part").to_numpy()
+            cuts = [0, *(np.nonzero(nodes[1:] != nodes[:-1])[0] + 1), len(nodes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if nodes[a] != node:
+                    yield from _emit(node, states)
+                    node, states = nodes[a], {}
+                piece = batch.slice(a, b - a)
+                rows, index = lists_to_matrix(piece.column("vec")), piece.column("i").to_numpy()
+                keys = piece.column("key").to_numpy()
+                for k in np.unique(keys):
+                    mine = keys == k
+                    states[int(k)] = fold.merge(states.get(int(k)), index[mine], rows[mine])
+        yield from _emit(node, states)
+
+    return merge
+
+
+def _emit(node: int | None, states: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for k, state in states.items():
+        yield from keyed_rows({"part": int(node), "key": k}, state)
+
+
+def tree_levels(partials: int, fan_in: int) -> int:
+    """Levels of nodes before the last merge, so that no merge has more than ``fan_in`` children."""
+    levels = 0
+    while partials > fan_in:
+        partials = -(-partials // fan_in)
+        levels += 1
+    return levels

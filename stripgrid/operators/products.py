@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import matrix_of, matrix_to_lists
-from ..layout import VECTOR, Cells
+from ..layout import LOCAL_WIDTH, VECTOR, Cells
+from .block_products import gram_blocks, gram_cells
 from .folding import Gram, check_width, fold_rows
 
 # Up to this many columns one hash aggregate with all the sums beats shipping rows to Python workers.
@@ -36,7 +37,9 @@ def gram_rows(frame: DataFrame, parts: list[Cells], key: str | None = None) -> D
 
 
 def gram_long(frame: DataFrame, parts: list[Cells]) -> DataFrame:
-    """Gram matrix as ``(i, j, value)``."""
+    """Gram matrix as ``(i, j, value)``. Beyond ``LOCAL_WIDTH`` columns it is summed in tiles instead of in one task."""
+    if sum(part.width for part in parts) > LOCAL_WIDTH:
+        return gram_cells(gram_blocks(frame, parts))
     return gram_rows(frame, parts).select("i", F.posexplode("vec").alias("j", "value"))
 
 
@@ -58,7 +61,7 @@ def times_local(frame: DataFrame, cells: Cells, local: np.ndarray, keep: list[st
     if local.ndim != 2 or local.shape[0] != cells.width:
         raise ValueError(f"cannot multiply {cells.width} columns by a local matrix of shape {local.shape}")
     if local.size <= GENERATED_PRODUCT:
-        return frame.select(*keep, F.array(*product_items(cells, local)).alias(out))
+        return frame.select(*keep, F.array(*product_items(cells, local)).cast(VECTOR).alias(out))
     source = frame.select(*keep, *cells.columns())
     kept = frame.select(*keep).schema
 

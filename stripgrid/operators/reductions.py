@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -18,10 +19,12 @@ from pyspark.sql.types import StructType
 from ..functions.arrow import matrix_of
 from ..functions.monoids import Monoid, monoid
 from ..layout import NARROW, Cells, Packed, Wide, explode_cells
-from .folding import ColumnReduce, fold_rows, tree_levels
+from .folding import ColumnReduce, fold_rows
 
 # Up to this many array elements are read one by one in compiled code.
 UNROLLED = 16
+# User-defined states are small, so many of them meet in one node of the merge tree.
+STATES_PER_NODE = 1024
 
 
 def row_values(matrix, op) -> DataFrame:
@@ -119,30 +122,36 @@ def fold_elements(
     fields = to_arrow_schema(StructType.fromDDL(schema))
     names = fields.names
 
-    def emit(state):
-        return pa.RecordBatch.from_pydict({name: [value] for name, value in zip(names, state)}, schema=fields)
+    keyed = fields.append(pa.field("_node", pa.int32()))
+
+    def emit(state, node):
+        values = {name: [value] for name, value in zip([*names, "_node"], [*state, node])}
+        return pa.RecordBatch.from_pydict(values, schema=keyed)
 
     def partial(batches):
         state = zero
         for batch in batches:
             if batch.num_rows:
                 state = seq_op(state, matrix_of(batch, [cells]).ravel())
-        yield emit(state)
+        yield emit(state, TaskContext.get().partitionId() // STATES_PER_NODE)
 
     def merge(batches):
-        state = zero
+        """States arrive sorted by node; a task holds one merged state."""
+        node, state = None, zero
         for batch in batches:
             for row in batch.to_pylist():
+                if row["_node"] != node:
+                    if node is not None:
+                        yield emit(state, node)
+                    node, state = row["_node"], zero
                 state = comb_op(state, tuple(row[name] for name in names))
-        yield emit(state)
+        yield emit(state, node or 0)
 
+    schema = f"{schema}, _node int"
     states = matrix.base.select(*cells.columns()).mapInArrow(partial, schema)
-    for tasks in tree_levels(spark.sparkContext.defaultParallelism):
-        spread = states.repartition(1)
-        if tasks > 1:
-            spread = states.withColumn("_part", F.spark_partition_id() % tasks).repartition("_part").drop("_part")
-        states = spread.mapInArrow(merge, schema)
-    return states
+    nodes = states.repartition("_node").sortWithinPartitions("_node").mapInArrow(merge, schema)
+    whole = nodes.withColumn("_node", F.lit(0)).repartition(1).mapInArrow(merge, schema)
+    return whole.drop("_node")
 
 
 def as_row_matrix(matrix, values: DataFrame):

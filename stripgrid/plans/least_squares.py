@@ -19,8 +19,8 @@ from ..functions.monoids import monoid
 from ..layout import LOCAL_WIDTH, NARROW, Cells, Packed, Wide, explode_cells
 from ..operators.folding import ColumnReduce, Gram, RFactor, fold_rows
 from ..operators.products import GENERATED_GRAM, GENERATED_PRODUCT, gram_rows, product_items, times_local
-from ..row_matrix import RowMatrix
-from ..sources.random import keyed_uniform
+from ..row_matrix import RowMatrix, paired_rows
+from ..sources.random import replayable_uniform
 from ..sources.tables import from_columns
 from .tall_qr import collect_square, r_rows, squares_of
 
@@ -44,34 +44,15 @@ class System:
 
     @classmethod
     def align(cls, a: RowMatrix, b: RowMatrix) -> System:
-        """Join on ``row_id``; a row missing on either side is an error, raised while the join runs."""
+        """Brought together on ``row_id``; a row missing on either side, or there twice, is an error."""
         return cls.align_many([a], b)
 
     @classmethod
     def align_many(cls, blocks: Sequence[RowMatrix], b: RowMatrix) -> System:
         """Column blocks of A and b, brought together on ``row_id`` in one shuffle."""
-        matrices = [b, *blocks]
         names = ["b", *[f"a{p}" for p in range(len(blocks))]]
-        keyed = [
-            m.base.select(F.col(m.require_key()).alias("row_id"), m.cells.array().alias("vec")) for m in matrices
-        ]
-        if len(blocks) == 1:
-            pieces = [frame.withColumnRenamed("vec", name) for frame, name in zip(keyed, names)]
-            joined = pieces[0].join(pieces[1], "row_id", "full_outer")
-            complete = F.col("b").isNotNull() & F.col("a0").isNotNull()
-        else:
-            # A chain of joins would shuffle the growing result once per block.
-            tagged = [frame.withColumn("source", F.lit(p)) for p, frame in enumerate(keyed)]
-            stacked = tagged[0]
-            for frame in tagged[1:]:
-                stacked = stacked.unionByName(frame)
-            picked = [F.max(F.when(F.col("source") == p, F.col("vec"))).alias(name) for p, name in enumerate(names)]
-            joined = stacked.groupBy("row_id").agg(F.count(F.lit(1)).alias("found"), *picked)
-            complete = F.col("found") == len(names)
-            for name in names:
-                complete = complete & F.col(name).isNotNull()
-        problem = F.raise_error(F.lit("A and b must have the same rows")).cast("array<double>")
-        vec = F.when(complete, F.concat(*names[1:])).otherwise(problem)
+        joined = paired_rows([b, *blocks], names, "A and b must have the same rows, each once")
+        vec = F.concat(*names[1:])
         width = sum(block.n_cols for block in blocks)
         base = joined.select("row_id", vec.alias("vec"), "b")
         return cls(base, Packed("vec", width), Packed("b", b.n_cols), "row_id")
@@ -226,8 +207,9 @@ class QrTree(Solver):
 class GradientDescent(Solver):
     """Mini-batch gradient descent with step size / sqrt(t), zero start and no intercept, one right-hand column.
 
-    Minimises (1/2m)||Ax-b||^2 + (lambda/2)||x||^2 over each batch of m rows. The batch of step t is a keyed sample,
-    independent of the weights, so the moments of all batches come from one pass over the data.
+    Minimises (1/2m)||Ax-b||^2 + (lambda/2)||x||^2 over each batch of m rows. The batch of step t is a sample drawn by
+    the row key (which sampling requires), independent of the weights, so the moments of all batches come from one pass
+    over the data, and anyone with the keys can draw the same batches (``sources.random.replayable_uniform``).
     """
 
     def __init__(self, steps: int = 100, step_size: float = 1.0, batch_fraction: float = 1.0, seed: int = 42):
@@ -247,7 +229,7 @@ class GradientDescent(Solver):
             return gram_rows(counted, parts)
         # Each task adds up its rows per step before anything is shuffled.
         width = sum(part.width for part in parts)
-        counted = counted.withColumn("_steps", self._drawn_steps(parts, key))
+        counted = counted.withColumn("_steps", self._drawn_steps(key))
         if width <= GENERATED_GRAM:
             return gram_rows(explode_cells(counted, ["*"], F.col("_steps"), "_at", "_step"), parts, "_step")
         return fold_rows(counted, parts, Gram(width), "_steps")
@@ -262,13 +244,14 @@ class GradientDescent(Solver):
 
         return fold_rows(matrix.base, [matrix.cells], Gram(width + 1), expand=counted)
 
-    def _drawn_steps(self, parts: list[Cells], key: Column | None) -> Column:
-        row = [key] if key is not None else [c for part in parts for c in part.columns()]
-        steps = F.sequence(F.lit(1), F.lit(self.steps))
-        return F.filter(steps, lambda t: self._drawn(row, t))
+    def _drawn_steps(self, key: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.lit(self.steps)), lambda t: self._drawn(key, t))
 
-    def _drawn(self, row: list[Column], step: Column) -> Column:
-        return keyed_uniform(*row, step, F.lit(self.seed)) < self.batch_fraction
+    def _drawn(self, key: Column | None, step: Column) -> Column:
+        """Whether a row is in the batch of a step: a function of its key alone, the same on every route."""
+        if key is None:
+            raise ValueError("sampled batches need a row key; build the system with row_id=...")
+        return replayable_uniform(key, step, self.seed) < self.batch_fraction
 
     def local(self, squares, n, lam):
         moments = squares.get if self.batch_fraction < 1.0 else lambda t: squares[0]
@@ -286,13 +269,13 @@ class GradientDescent(Solver):
     def solve_by_steps(self, system: System, lams: list[float], columns: list[range]) -> DataFrame:
         """When the summaries would be too large: one gradient pass per step, only n numbers per task."""
         spark, n = system.base.sparkSession, system.n_cols
-        row = [F.col(system.key)] if system.key else system.a.columns() + system.b.columns()
+        key = F.col(system.key) if system.key else None
         chosen = [c[0] for c in columns]
         weights = np.zeros((n, len(lams)))
         for t in range(1, self.steps + 1):
             batch = system.base
             if self.batch_fraction < 1.0:
-                batch = batch.filter(self._drawn(row, F.lit(t)))
+                batch = batch.filter(self._drawn(key, F.lit(t)))
             total = collect_square(_gradient(batch, system, weights, chosen), n * len(lams) + 1)
             if len(total) == 0 or total[0, -1] == 0:
                 continue

@@ -85,6 +85,11 @@ def singular_values(matrix) -> DataFrame:
     return r_rows(matrix.base, [matrix.cells]).coalesce(1).mapInArrow(measure, "i int, sigma double")
 
 
+def two_norm(matrix) -> DataFrame:
+    """One row ``(value)``: the largest singular value, 0 for a matrix without rows."""
+    return singular_values(matrix).agg(F.coalesce(F.max("sigma"), F.lit(0.0)).alias("value"))
+
+
 def squares_of(batches, width: int) -> list[tuple[int, np.ndarray]]:
     """Inside a task: the small matrices of a ``(key, i, vec)`` frame."""
     tables = [batch for batch in batches if batch.num_rows]
@@ -126,8 +131,8 @@ def _projected(matrix, r_first: np.ndarray) -> ThinQR:
     return ThinQR(project(matrix, factors), np.triu(r_second @ r_first), factors)
 
 
-def project(matrix, factors: list[np.ndarray]):
-    """A R1^-1 R2^-1 ... row by row; the factors are n x n and travel with the task."""
+def project(matrix, factors: list[np.ndarray], then: np.ndarray | None = None):
+    """A R1^-1 R2^-1 ... row by row, times ``then``; the factors are n x n and travel with the task."""
     key, cells = matrix.require_key(), matrix.cells
 
     def apply(batches):
@@ -135,10 +140,11 @@ def project(matrix, factors: list[np.ndarray]):
             if batch.num_rows == 0:
                 continue
             rows = divide_right(matrix_of(batch, [cells]), factors)
+            rows = rows if then is None else rows @ then
             yield pa.RecordBatch.from_arrays([batch.column(key), matrix_to_lists(rows)], [key, "vec"])
 
     projected = matrix.base.select(key, *cells.columns()).mapInArrow(apply, f"{key} bigint, vec array<double>")
-    return matrix.replace(projected, Packed("vec", cells.width))
+    return matrix.replace(projected, Packed("vec", cells.width if then is None else then.shape[1]))
 
 
 def divide_right(rows: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
@@ -147,6 +153,59 @@ def divide_right(rows: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
     return rows
 
 
+# -- singular value decomposition --------------------------------------------------------------------------
+
+
+@dataclass
+class Svd:
+    """A = U diag(sigma) V': U as a row matrix with the ``row_id`` of A, sigma in decreasing order, V as n x k."""
+
+    u: object
+    sigma: np.ndarray
+    v: np.ndarray
+
+    def v_long(self) -> DataFrame:
+        """V as ``(i, j, value)``."""
+        n, k = self.v.shape
+        table = pa.table(
+            {
+                "i": pa.array(np.repeat(np.arange(n, dtype=np.int64), k)),
+                "j": pa.array(np.tile(np.arange(k, dtype=np.int32), n)),
+                "value": pa.array(self.v.ravel()),
+            }
+        )
+        return self.u.base.sparkSession.createDataFrame(table)
+
+
+def svd(matrix, rank: int | None = None, tolerance: float | None = None, route: str = "auto") -> Svd:
+    """Singular value decomposition of a tall matrix: Q R first, then R = W diag(sigma) V' on the driver, and U = Q W.
+
+    Kept are at most ``rank`` singular values, and only those above ``tolerance`` times the largest (default: n times the
+    rounding unit), so a rank-deficient matrix gives as many as its numerical rank. U is one pass over the rows where Q
+    is a projection; rank-deficient and nearly dependent columns take the direct route of ``thin_qr``. Signs: in each column of V the
+    entry of largest absolute value is positive (the first one, if several are that large to nine digits).
+    """
+    if rank is not None and rank < 0:
+        raise ValueError("rank must not be negative")
+    factor = thin_qr(matrix, route)
+    n = matrix.n_cols
+    w, sigma, vt = np.linalg.svd(factor.r, full_matrices=False)
+    limit = max(1, n) * np.finfo(float).eps if tolerance is None else tolerance
+    kept = int(np.sum(sigma > limit * sigma[0])) if len(sigma) else 0
+    kept = kept if rank is None else min(rank, kept)
+    w, sigma, v = w[:, :kept], sigma[:kept], vt[:kept].T
+    if kept:
+        size = np.abs(v)
+        leading = np.argmax(size >= (1 - 1e-9) * size.max(axis=0), axis=0)
+        signs = np.where(v[leading, np.arange(kept)] < 0, -1.0, 1.0)
+        w, v = w * signs, v * signs
+    if factor.factors is not None:
+        return Svd(project(matrix, factor.factors, w), sigma, v)
+    if len(factor.r) == 0:
+        return Svd(matrix.replace(matrix.base.select(matrix.require_key(), F.array().cast("array<double>").alias("vec")), Packed("vec", 0)), sigma, v)
+    return Svd(factor.q.times_local(w), sigma, v)
+
+
 # -- direct route ------------------------------------------------------------------------------------------
 
 _BLOCKS = "node bigint, ids array<bigint>, q array<double>, r array<double>"

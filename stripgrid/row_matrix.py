@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.monoids import monoid
 from .layout import VECTOR, Cells, Packed, Wide, explode_cells
-from .operators import products, reductions, shape
+from .operators import block_products, products, reductions, shape
 
 INT_MAX = 2**31 - 1
 KEEP = object()
@@ -141,20 +141,15 @@ class RowMatrix:
         return self * reciprocal(other)
 
     def _zip(self, other, fn: Callable[[Column, Column], Column]) -> RowMatrix:
-        """Rows matched on the key. A row missing on one side is an error, found while the join runs."""
+        """Rows matched on the key, in one shuffle that counts the rows of each key on both sides. A row that is missing
+        on one side, or a key that is there twice, is an error, found while the plan runs."""
         if not isinstance(other, RowMatrix):
             raise TypeError("cannot combine matrices of different types")
         known = self._n_rows is not None and other._n_rows is not None
         if self.n_cols != other.n_cols or (known and self._n_rows != other._n_rows):
             raise ValueError("cannot combine matrices of unequal size")
-        key = self.require_key()
-        left = self.base.select(F.col(key).alias("row_id"), self.cells.array().alias("left"))
-        right = other.base.select(F.col(other.require_key()).alias("row_id"), other.cells.array().alias("right"))
-        both = F.col("left").isNotNull() & F.col("right").isNotNull()
-        vec = F.when(both, F.zip_with("left", "right", fn)).otherwise(
-            F.raise_error(F.lit("cannot combine matrices of unequal size")).cast("array<double>")
-        )
-        joined = left.join(right, "row_id", "full_outer").select("row_id", vec.alias("vec"))
+        pairs = paired_rows([self, other], ["left", "right"], "cannot combine matrices of unequal size")
+        joined = pairs.select("row_id", F.zip_with("left", "right", fn).alias("vec"))
         return self.replace(joined, Packed("vec", self.n_cols), key="row_id")
 
     # -- selection ---------------------------------------------------------------------------------------
@@ -224,6 +219,42 @@ class RowMatrix:
     def gram(self) -> DataFrame:
         return products.gram_long(self.base, [self.cells])
 
+    def transpose(self, rows_per_block: int = 512, cols_per_block: int = 512):
+        """The transposed matrix as blocks of ``rows_per_block`` x ``cols_per_block`` (of the result).
+
+        Tiles are exchanged in one shuffle: a row of the result has one number per row of this matrix, so it is never
+        put together in one place.
+        """
+        from .sources.grids import to_grid
+
+        return to_grid(self, cols_per_block, rows_per_block).transpose()
+
+    def multiply(self, other, tile: int = block_products.TILE, groups: int | None = None) -> RowMatrix:
+        """This matrix times a row matrix or a block matrix, as rows with the same ``row_id``.
+
+        Rows are cut at the other side's inner boundaries and go straight to the tiles of the result. A row is put
+        together from its tiles in one more shuffle, or within the task where one tile is as wide as the result.
+        """
+        from .block_matrix import BlockMatrix
+
+        key, other_dim = self.require_key(), other.dim
+        if self.n_cols != other_dim[0]:
+            raise ValueError(f"cannot multiply {self.n_rows} x {self.n_cols} by {other_dim[0]} x {other_dim[1]}")
+        if isinstance(other, BlockMatrix):
+            panels, right = other.row_panels(), block_products.right_blocks(other.df)
+        else:
+            step = block_products.INNER
+            panels = [(i, s, min(step, self.n_cols - s)) for i, s in enumerate(range(0, self.n_cols, step))]
+            inner = F.expr(f"int(`{other.require_key()}` div {step})")
+            right = block_products.right_rows(other.base, other.require_key(), other.cells, inner, step)
+        left = block_products.left_rows(self.base, key, self.cells, panels)
+        shape = (self.n_rows, other_dim[1])
+        blocks = block_products.multiply(left, right, shape, self.n_cols, tile, groups, fixed_inner=False)
+        return block_products.rows_of(blocks, self, shape[1])
+
+    def __matmul__(self, other) -> RowMatrix:
+        return self.multiply(other)
+
     def times_local(self, local: np.ndarray) -> RowMatrix:
         product = products.times_local(self.base, self.cells, local, self._key_columns(), "vec")
         return self.replace(product, Packed("vec", np.asarray(local).shape[1]))
@@ -240,6 +271,18 @@ class RowMatrix:
 
         return condition_one_norm(local_r(self) if r is None else r)
 
+    def svd(self, rank: int | None = None, tolerance: float | None = None):
+        """``plans.tall_qr.Svd``: U as a row matrix, the singular values and V."""
+        from .plans.tall_qr import svd
+
+        return svd(self, rank, tolerance)
+
+    def norm_2(self) -> float:
+        """Largest singular value."""
+        from .plans.tall_qr import two_norm
+
+        return two_norm(self).head()[0]
+
     # -- storage -----------------------------------------------------------------------------------------
 
     def cache(self) -> RowMatrix:
@@ -264,6 +307,26 @@ class RowMatrix:
         return values.reshape(table.num_rows, self.n_cols).copy()
 
 
+def paired_rows(matrices: list[RowMatrix], names: list[str], problem: str) -> DataFrame:
+    """``(row_id, name...)``: one array per matrix for each key, in one shuffle however many matrices there are.
+
+    Each key must be there exactly once in every matrix, else the plan raises ``problem`` while it runs.
+    """
+    stacked = None
+    for p, matrix in enumerate(matrices):
+        rows = matrix.base.select(
+            F.col(matrix.require_key()).alias("row_id"), F.lit(p).alias("source"), matrix.cells.array().alias("vec")
+        )
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    picked = [F.max(F.when(F.col("source") == p, F.col("vec"))).alias(name) for p, name in enumerate(names)]
+    grouped = stacked.groupBy("row_id").agg(F.count(F.lit(1)).alias("found"), *picked)
+    complete = F.col("found") == len(names)
+    for name in names:
+        complete = complete & F.col(name).isNotNull()
+    first = F.when(complete, F.col(names[0])).otherwise(F.raise_error(F.lit(problem)).cast("array<double>"))
+    return grouped.select("row_id", first.alias(names[0]), *names[1:])
+
+
 def reciprocal(value: float) -> float:
     with np.errstate(divide="ignore"):
         return float(np.float64(1.0) / np.float64(value))

@@ -17,6 +17,26 @@ def keyed_uniform(*keys: Column) -> Column:
     return bits.cast("double") * F.lit(2.0**-53)
 
 
+# Fixed values of ``replayable_uniform``: a prime below 2^31, so that squares stay in a long, and multipliers below it.
+PRIME = 2**31 - 1
+MIX = (48271, 69621, 40692, 16807, 39373)
+
+
+def replayable_uniform(key: Column, step: Column, seed: int) -> Column:
+    """Uniform in [0, 1) from an integer key and a step, by integer arithmetic that any SQL engine can repeat.
+
+    With k = key mod p + 40692 (key div p): a = 48271 k + 69621 step + seed, b = a^2 + 16807 a + step,
+    c = b^2 + 39373 b + k, each modulo p = 2^31 - 1; the result is c / p.
+    """
+    p = F.lit(PRIME).cast("bigint")
+    key, step = key.cast("bigint"), step.cast("bigint")
+    k = F.pmod(F.pmod(key, p) + F.lit(MIX[2]) * F.pmod(F.call_function("div", key, p), p), p)
+    a = F.pmod(F.lit(MIX[0]) * k + F.lit(MIX[1]) * step + F.lit(seed % PRIME), p)
+    b = F.pmod(a * a + F.lit(MIX[3]) * a + step, p)
+    c = F.pmod(b * b + F.lit(MIX[4]) * b + k, p)
+    return c / F.lit(float(PRIME))
+
+
 def uniform_cells(row: Column, n_cols: int, seed: int) -> Column:
     columns = F.sequence(F.lit(0), F.lit(n_cols - 1))
     return F.transform(columns, lambda j: keyed_uniform(row, j, F.lit(seed)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions.lineage import cut_lineage
 from ..functions.prefix import running_start
 from ..layout import Packed, Wide, explode_cells, quoted
 from ..row_matrix import RowMatrix
@@ -70,12 +71,12 @@ def _has_null(vec: Column) -> Column:
 def from_strips(strips: DataFrame, n_cols: int | None = None) -> RowMatrix:
     """Matrix from ready-made strips ``(strip_id, n_rows, n_cols, vals)`` with row-major values, stacked by id.
 
-    Start rows are running sums over the strip directory, joined back on ``strip_id``.
+    Start rows are running sums over the strip directory (ids and heights, written down once), joined back on ``strip_id``.
     """
     if n_cols is None:
         first = strips.filter("n_rows > 0").select("n_cols").head()
         n_cols = 0 if first is None else first.n_cols
-    directory = running_start(strips.select("strip_id", "n_rows"), "strip_id", "n_rows", "start_row")
+    directory = running_start(cut_lineage(strips.select("strip_id", "n_rows")), "strip_id", "n_rows", "start_row")
     fits = F.col("n_cols") == n_cols
     rows = F.transform(
         F.sequence(F.lit(0), F.col("n_rows") - 1),

@@ -164,10 +164,9 @@ def test_grid_is_keyed_by_row_id_and_not_by_arrival(spark):
 
 
 def test_merge_tree_has_bounded_fan_in():
-    for parallelism in (1, 8, 32, 33, 1000, 8000):
-        levels = tree_levels(parallelism)
-        assert levels[-1] == 1
-        assert all(a <= 32 * b for a, b in zip(levels, levels[1:]))
+    for partials, levels in ((0, 0), (1, 0), (32, 0), (33, 1), (1024, 1), (1025, 2), (3000, 2), (32769, 3)):
+        assert tree_levels(partials, 32) == levels
+        assert partials <= 32 ** (levels + 1)
 
 
 def test_slices_without_known_boundaries_agree(spark):

@@ -14,7 +14,7 @@ from stripgrid.plans.least_squares import (
     solution_array,
 )
 from stripgrid.plans.systems import accuracy_report, linear_systems
-from stripgrid.sources.random import keyed_uniform, random_uniform
+from stripgrid.sources.random import random_uniform, replayable_uniform
 
 LAMBDAS = [0.0, 1e-4, 1e-6, 100.0]
 
@@ -120,7 +120,7 @@ def test_mini_batches_match_the_same_sample_drawn_by_hand(spark, data):
     system = System.align(a, b[:, 0:1])
     solver = GradientDescent(steps=8, step_size=0.1, batch_fraction=0.3, seed=9)
     drawn = system.base.select(
-        "row_id", *[(keyed_uniform(F.col("row_id"), F.lit(t), F.lit(9)) < 0.3).alias(f"t{t}") for t in range(1, 9)]
+        "row_id", *[(replayable_uniform(F.col("row_id"), F.lit(t), 9) < 0.3).alias(f"t{t}") for t in range(1, 9)]
     )
     sample = drawn.orderBy("row_id").toPandas()
     expected = descend(a_local, b_local[:, :1], 8, 0.1, 0.2, lambda t: sample[f"t{t}"].to_numpy())

@@ -103,8 +103,6 @@ def test_width_limit_is_stated(spark):
     wide = random_uniform(spark, 4, 5000)
     with pytest.raises(ValueError, match="block QR"):
         wide.qr_r()
-    with pytest.raises(ValueError, match="limit"):
-        wide.gram()
 
 
 def test_unknown_route(spark):
