@@ -103,6 +103,9 @@ class BlockMatrix:
 
     def column_panels(self) -> list[tuple[int, int, int]]:
         """``(block_col, col_start, n_cols)`` per block column; as many entries as the grid is wide."""
+        if self.col_steps is not None and self._dim is not None:
+            edges = self.col_steps.edges(self.n_cols)
+            return [(j, start, end - start) for j, (start, end) in enumerate(zip(edges, edges[1:]))]
         panels = self.df.select("block_col", "col_start", "n_cols").distinct().orderBy("block_col").collect()
         return [tuple(row) for row in panels]
 
@@ -344,10 +347,10 @@ class BlockMatrix:
 
     # -- storage -----------------------------------------------------------------------------------------
 
-    def qr_r(self) -> BlockMatrix:
+    def qr_r(self, route: str = "auto") -> BlockMatrix:
         from .plans.block_qr import block_qr_r
 
-        return block_qr_r(self)
+        return block_qr_r(self, route)
 
     def cache(self) -> BlockMatrix:
         self.df.persist(StorageLevel.MEMORY_AND_DISK)

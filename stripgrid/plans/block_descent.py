@@ -5,8 +5,11 @@ Two routes with the same iterates:
 * compact: one pass leaves a summary of [A | b] (a Gram matrix or an R factor). Every block update needs the summary
   of [A_j | target], and the target is a linear combination of the columns, so it is a change of basis of that
   summary. The data is read once, however many iterations follow.
-* streaming: for A wider than one task can hold as a square, or blocks that arrive one by one. Predictions are a
-  table keyed by ``row_id``; each block update is one join, one solver pass and one update of that table.
+* streaming: for A wider than one task can hold as a square. The blocks lie side by side in one table, so a row can
+  work out its own prediction from the current model; each block update is one narrow pass of the solver over that table,
+  and nothing is shuffled or written between updates.
+
+Blocks that arrive one by one (``solve_one_pass``) are joined to a table of predictions when they come.
 """
 
 from __future__ import annotations
@@ -57,10 +60,7 @@ class BlockCoordinateDescent:
             raise ValueError("block widths must add up to the number of columns")
         if self._fits(system.n_cols, system.n_targets):
             return self._compact(system, list(block_widths), list(lams), callback)
-        edges = np.cumsum([0, *block_widths])
-        a = system.matrix()
-        blocks = [a[:, int(s) : int(e)] for s, e in zip(edges[:-1], edges[1:])]
-        return self._streaming(blocks, system.rhs(), list(lams), callback)
+        return self._streaming(system, list(block_widths), list(lams), callback)
 
     def solve(
         self,
@@ -79,7 +79,10 @@ class BlockCoordinateDescent:
             route = "compact" if self._fits(sum(widths), b.n_cols) else "streaming"
         if route == "compact":
             return self._compact(System.align_many(blocks, b), widths, list(lams), callback)
-        return self._streaming(list(blocks), b, list(lams), callback)
+        aligned = System.align_many(blocks, b)
+        # The one shuffle of all blocks is written down, since every update reads its result.
+        aligned = System(cut_lineage(aligned.base), aligned.a, aligned.b, aligned.key)
+        return self._streaming(aligned, widths, list(lams), callback)
 
     def solve_one_pass(
         self, blocks: Iterable[RowMatrix], b: RowMatrix, lams: Sequence[float]
@@ -122,17 +125,21 @@ class BlockCoordinateDescent:
     # -- streaming route -----------------------------------------------------------------------------------
 
     def _streaming(
-        self, blocks: list[RowMatrix], b: RowMatrix, lams: list[float], callback: Callback | None
+        self, system: System, widths: list[int], lams: list[float], callback: Callback | None
     ) -> DataFrame:
-        state = _zero_state(b, len(lams))
-        models = [[np.zeros((block.n_cols, b.n_cols)) for _ in lams] for block in blocks]
-        for order in self.block_orders(len(blocks)):
+        """Updates in place: the model is the only state, and it is on the driver (n x k numbers for each penalty)."""
+        self.solver.check(system.n_targets)
+        k, edges = system.n_targets, np.cumsum([0, *widths])
+        models = np.zeros((system.n_cols, k * len(lams)))
+        for order in self.block_orders(len(widths)):
             for p in order:
-                models[p], state = self._update(state, blocks[p], b.n_cols, models[p], lams)
+                own = slice(int(edges[p]), int(edges[p + 1]))
+                inner, residuals = _block_system(system, own, models)
+                for row in self.solver.solve_targets_l2(inner, residuals, lams).collect():
+                    models[own.start + row.j, row.target * k + row.rhs] = row.x
                 if callback is not None:
-                    callback(models[p], p)
-        stacked = [np.vstack([model[i] for model in models]) for i in range(len(lams))]
-        return _models_frame(b.base, stacked, [block.n_cols for block in blocks], lams)
+                    callback([x.copy() for x in np.split(models[own], len(lams), axis=1)], p)
+        return _models_frame(system.base, np.split(models, len(lams), axis=1), widths, lams)
 
     def _update(
         self, state: DataFrame, block: RowMatrix, k: int, old: list[np.ndarray], lams: list[float]
@@ -159,6 +166,27 @@ class BlockCoordinateDescent:
         return new, moved
 
 
+def _block_system(system: System, own: slice, models: np.ndarray) -> tuple[System, Packed]:
+    """The columns of one block, b, and as residuals what the other blocks predict; worked out row by row."""
+    rest = models.copy()
+    rest[own] = 0.0
+    key = [system.key] if system.key else []
+    cells = [system.a, system.b]
+
+    def derive(batches):
+        for batch in batches:
+            a = matrix_of(batch, [system.a])
+            parts = a[:, own], matrix_of(batch, [system.b]), a @ rest
+            columns = [batch.column(name) for name in key] + [matrix_to_lists(part) for part in parts]
+            yield pa.RecordBatch.from_arrays(columns, [*key, "a", "b", "pred"])
+
+    schema = "".join(f"`{name}` bigint, " for name in key) + "a array<double>, b array<double>, pred array<double>"
+    source = system.base.select(*key, *[column for part in cells for column in part.columns()])
+    derived = source.mapInArrow(derive, schema)
+    block = System(derived, Packed("a", own.stop - own.start), Packed("b", system.n_targets), system.key)
+    return block, Packed("pred", models.shape[1])
+
+
 def descend_summary(
     solver: Solver,
     square: np.ndarray,

@@ -17,27 +17,33 @@ from ..block_matrix import POSITION, BlockMatrix
 from ..functions.arrow import keyed_rows
 from ..functions.lineage import cut_lineage
 from ..operators.folding import PARTIAL_SCHEMA, merge_tree
+from .strip_qr import AddRows, NearlyDependent, fits_strips, strip_qr_r
 from .tall_qr import ThinQR, divide_right, squares_of, thin_qr
 
 _SUMS = "block_col int, s array<double>"
 
 
-class _AddRows:
-    """Sum of equally shaped small matrices that arrive row by row."""
+def block_qr_r(matrix: BlockMatrix, route: str = "auto") -> BlockMatrix:
+    """R as a block matrix with the column panels of the input; diagonal >= 0.
 
-    gather = 1
+    ``strips`` (``strip_qr``) deals the matrix to row strips once and never moves it again; it needs a row of blocks of R to
+    fit a task. ``blocks`` joins panels with the columns to their right, for wider matrices and for panels whose
+    columns are nearly dependent. ``auto`` starts with strips and turns to blocks where they don't do.
+    """
+    if route not in ("auto", "strips", "blocks"):
+        raise ValueError("route must be auto, strips or blocks")
+    panels = matrix.column_panels()
+    n_rows, n_cols = matrix.dim
+    if n_cols and n_rows and route != "blocks" and (route == "strips" or fits_strips(panels)):
+        try:
+            return BlockMatrix(strip_qr_r(matrix.df, panels, n_rows), (min(n_rows, n_cols), n_cols))
+        except NearlyDependent:
+            if route == "strips":
+                raise ValueError("the columns of a panel are nearly dependent; use the route over blocks") from None
+    return _over_blocks(matrix)
 
-    def merge(self, state: np.ndarray | None, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        height = int(index.max()) + 1
-        total = np.zeros((max(height, 0 if state is None else len(state)), rows.shape[1]))
-        if state is not None:
-            total[: len(state)] = state
-        np.add.at(total, index, rows)
-        return total
 
-
-def block_qr_r(matrix: BlockMatrix) -> BlockMatrix:
-    """R as a block matrix with the column panels of the input; diagonal >= 0."""
+def _over_blocks(matrix: BlockMatrix) -> BlockMatrix:
     spark = matrix.df.sparkSession
     trailing = cut_lineage(matrix.df)
     n_rows, n_cols = BlockMatrix(trailing).dim
@@ -124,7 +130,7 @@ def _cross(paired: DataFrame, rank: int) -> DataFrame:
                 ["block_col", "s"],
             )
 
-    return merge_tree(partials, _AddRows()).coalesce(1).mapInArrow(assemble, _SUMS)
+    return merge_tree(partials, AddRows(), rank * rank).coalesce(1).mapInArrow(assemble, _SUMS)
 
 
 def _subtract(paired: DataFrame, sums: DataFrame, rank: int) -> DataFrame:

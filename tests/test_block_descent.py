@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import RUN_ERRORS, ridge, rows_of
+from pyspark.sql import functions as F
 
 from stripgrid.plans import block_descent
 from stripgrid.plans.block_descent import BlockCoordinateDescent
@@ -118,3 +119,42 @@ def test_blocks_must_have_the_rows_of_b(spark, blocks):
     short = rows_of(spark, np.ones((150, 2)))
     with pytest.raises(RUN_ERRORS, match="same rows"):
         BlockCoordinateDescent(NormalEquations(), 1).solve([short], b, [1.0], route="streaming")
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_update_moves_no_rows(spark):
+    """The plan of an update holds only the merge tree of the solver: its exchanges come after a partial per task."""
+    from stripgrid.plans.block_descent import _block_system
+
+    a, b = random_uniform(spark, 200, 6, 1), random_uniform(spark, 200, 2, 2)
+    system = System.align(a, b)
+    system = System(system.base.cache(), system.a, system.b, system.key)
+    inner, residuals = _block_system(system, slice(2, 4), np.ones((6, 4)))
+    assert "Exchange" not in _plan(inner.base).split("InMemoryRelation")[0]
+    plan = _plan(NormalEquations().solve_targets_l2(inner, residuals, [0.0, 1.0])).split("InMemoryRelation")[0]
+    below = plan[plan.rindex("Exchange") :]
+    assert "MapInArrow" in below or "HashAggregate" in below
+    local = a.to_local()
+    got = {r.row_id: (r.a, r.pred) for r in inner.base.collect()}
+    rest = np.ones((6, 4))
+    rest[2:4] = 0
+    assert all(np.allclose(got[i][0], local[i, 2:4]) and np.allclose(got[i][1], local[i] @ rest) for i in range(200))
+    system.base.unpersist()
+
+
+@pytest.mark.parametrize("solver", [NormalEquations(), QrTree()])
+def test_streaming_without_a_key_and_with_many_penalties(spark, solver, monkeypatch):
+    """Columns of one keyless table, forced to the streaming route; the same iterates as the compact one."""
+    frame = random_uniform(spark, 150, 7, 3).base
+    system = System.from_columns(frame.select(*[F.col("vec")[j].alias(f"x{j}") for j in range(7)]), [f"x{j}" for j in range(5)], ["x5", "x6"])
+    descent = BlockCoordinateDescent(solver, iterations=3, shuffle=True, seed=4)
+    compact = {tuple(r)[:4]: r.x for r in descent.solve_columns(system, [2, 1, 2], [0.1, 5.0]).collect()}
+    monkeypatch.setattr("stripgrid.plans.block_descent.LOCAL_WIDTH", 0)
+    seen = []
+    streaming = descent.solve_columns(system, [2, 1, 2], [0.1, 5.0], lambda models, p: seen.append((p, models[0].shape)))
+    streaming = {tuple(r)[:4]: r.x for r in streaming.collect()}
+    assert streaming.keys() == compact.keys() and all(abs(streaming[k] - compact[k]) < 1e-9 for k in compact)
+    assert len(seen) == 9 and {shape for _, shape in seen} == {(2, 2), (1, 2)}

@@ -3,6 +3,7 @@ import pytest
 from helpers import M1, M3, RUN_ERRORS, grid_of, positive, rows_of
 from pyspark.sql import functions as F
 
+from stripgrid.block_matrix import BlockMatrix
 from stripgrid.operators.folding import tree_levels
 from stripgrid.sources import storage
 from stripgrid.sources.grids import from_blocks, to_grid
@@ -179,3 +180,64 @@ def test_slices_without_known_boundaries_agree(spark):
         assert known.directory().orderBy(*order).collect() == found.directory().orderBy(*order).collect()
     again, loosely = grid[3:20, 2:10][4:15, 1:7].block_range(1, 3, 0, 2), loose[3:20, 2:10][4:15, 1:7].block_range(1, 3, 0, 2)
     assert np.array_equal(again.to_local(), loosely.to_local())
+
+
+@pytest.mark.parametrize("shape,block", [((100, 100), (20, 10)), ((64, 9), (7, 4)), ((37, 11), (40, 11)), ((30, 30), (1, 7))])
+def test_block_qr_routes_agree(spark, shape, block):
+    array = np.random.default_rng(5).normal(size=shape)
+    want = np.linalg.qr(array)[1]
+    want *= np.where(np.diagonal(want) < 0, -1.0, 1.0)[:, None]
+    for route in ("strips", "blocks"):
+        r = grid_of(spark, array, *block).qr_r(route)
+        assert r.dim == want.shape and np.abs(r.to_local() - want).max() < 1e-8
+
+
+def test_block_qr_on_strips_with_badly_scaled_and_close_columns(spark):
+    """The second projection keeps later panels orthogonal to earlier ones: R'R = A'A to rounding of each column."""
+    draw = np.random.default_rng(6)
+    array = draw.normal(size=(80, 12)) * 10.0 ** draw.integers(-4, 5, 12)
+    array[:, 8:] = array[:, :4] + 1e-6 * np.abs(array[:, :4]).max(axis=0) * draw.normal(size=(80, 4))
+    r = grid_of(spark, array, 9, 4).qr_r("strips").to_local()
+    want = np.linalg.qr(array)[1]
+    want *= np.where(np.diagonal(want) < 0, -1.0, 1.0)[:, None]
+    assert np.all(np.abs(r - want) <= 1e-9 * np.linalg.norm(array, axis=0))
+
+
+def test_block_qr_on_strips_fills_blocks_that_are_not_stored(spark):
+    array = np.random.default_rng(7).normal(size=(24, 8))
+    array[8:16, 2:4] = 0
+    grid = BlockMatrix(grid_of(spark, array, 8, 2).df.where("not (block_row = 1 and block_col = 1)"), (24, 8))
+    r = grid.qr_r("strips").to_local()
+    assert np.allclose(r.T @ r, array.T @ array)
+
+
+def test_nearly_dependent_panels_turn_to_blocks(spark):
+    array = np.random.default_rng(8).normal(size=(40, 6))
+    array[:, 3] = array[:, 2]
+    grid = grid_of(spark, array, 10, 2)
+    with pytest.raises(ValueError, match="nearly dependent"):
+        grid.qr_r("strips")
+    r = grid.qr_r().to_local()
+    assert np.allclose(r.T @ r, array.T @ array)
+    with pytest.raises(ValueError, match="route"):
+        grid.qr_r("fast")
+
+
+def test_block_qr_on_strips_deals_the_matrix_once(spark, monkeypatch):
+    """Only the first store has an exchange of blocks under it."""
+    from stripgrid.plans import strip_qr
+
+    plans, store = [], strip_qr.cut_lineage
+
+    def watched(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return store(frame)
+
+    monkeypatch.setattr(strip_qr, "cut_lineage", watched)
+    array = np.random.default_rng(9).normal(size=(60, 10))
+    grid = grid_of(spark, array, 10, 2)
+    grid = BlockMatrix(grid.df.cache(), (60, 10), grid.steps)
+    grid.qr_r("strips").to_local()
+    own = [plan.split("InMemoryRelation")[0].count("Exchange") for plan in plans]
+    assert own == [1, 0, 0, 0, 0] and len(plans) == 5
+    grid.df.unpersist()
