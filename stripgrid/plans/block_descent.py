@@ -171,12 +171,12 @@ def _block_system(system: System, own: slice, models: np.ndarray) -> tuple[Syste
     rest = models.copy()
     rest[own] = 0.0
     key = [system.key] if system.key else []
-    cells = [system.a, system.b]
+    cells = a_cells, b_cells = system.a, system.b
 
     def derive(batches):
         for batch in batches:
-            a = matrix_of(batch, [system.a])
-            parts = a[:, own], matrix_of(batch, [system.b]), a @ rest
+            a = matrix_of(batch, [a_cells])
+            parts = a[:, own], matrix_of(batch, [b_cells]), a @ rest
             columns = [batch.column(name) for name in key] + [matrix_to_lists(part) for part in parts]
             yield pa.RecordBatch.from_arrays(columns, [*key, "a", "b", "pred"])
 
