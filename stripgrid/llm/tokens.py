@@ -65,6 +65,15 @@ def digest(text: Column, by_words: bool) -> Column:
     return F.unhex(F.sha2(content(text, by_words), 256))
 
 
+def kept_model(library, path: str, load):
+    """One model per file and Python worker. Loading anew in each task costs time, and a dropped one does not give all of
+    its memory back; the library's module outlives tasks, the globals of functions that travel with them do not."""
+    kept = vars(library).setdefault("_kept_models", {})
+    if path not in kept:
+        kept[path] = load(path)
+    return kept[path]
+
+
 class Counter:
     """Token counts inside a task. Where counts add up over words, the library sees each word of a task once."""
 
@@ -74,13 +83,13 @@ class Counter:
         if path.endswith(".model"):
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            model = kept_model(sentencepiece, path, lambda file: sentencepiece.SentencePieceProcessor(model_file=file))
             self.encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
-            from tokenizers import Tokenizer
+            import tokenizers
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            model = Tokenizer.from_file(path)
+            model = kept_model(tokenizers, path, tokenizers.Tokenizer.from_file)
             model.no_truncation()
             model.no_padding()
             self.encode = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
