@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stripgrid.llm.tokens import kept_model
+
 BATCH = 256
+LONG_SPACE = 100_000
+SPACES = re.compile(r"\s+")
 # How byte-level BPE files of this family split a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -34,14 +39,18 @@ class TokenIds:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.path = path
         self.fast = self._fast(spec)
-        if self.fast is None:
-            from tokenizers import Tokenizer
 
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.no_truncation()
-            self.tokenizer.no_padding()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        import tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tokenizer = kept_model(tokenizers, self.path, tokenizers.Tokenizer.from_file)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in encoded]
 
     @staticmethod
     def _fast(spec: dict):
@@ -74,9 +83,17 @@ class TokenIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
-            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in encoded]
-        return [self.fast.encode_to_numpy(x, allowed_special="all").astype("<u4").tobytes() for x in texts]
+            return self._whole(texts)
+        return [
+            self._whole([x])[0] if long_space(x) else self.fast.encode_to_numpy(x, allowed_special="all").astype("<u4").tobytes()
+            for x in texts
+        ]
+
+
+def long_space(text: str) -> bool:
+    """Whether a run of white space is so long that the fast encoder's pattern gives up on it (it tracks back over a run,
+    up to a million steps); such a text runs in the tokenizer's own library."""
+    return len(text) > LONG_SPACE and any(len(run) > LONG_SPACE for run in SPACES.findall(text))
 
 
 class Windows:

@@ -4,6 +4,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from stripgrid.llm.packing import TokenIds, Windows, pack
@@ -88,3 +89,10 @@ def test_odd_rows(odd_documents, no_documents):
     pieces = pack(odd_documents, "doc_id", "text", PATH).collect()
     assert sum(x["length"] for x in pieces) == sum(len(exact_ids(x["text"])) for x in odd_documents.collect())
     assert pack(no_documents, "doc_id", "text", PATH).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_500_000, "\n" * 1_200_000 + "word", "a" + " \t\n" * 500_000 + "b c", "x\x1c" + "\x1c" * 1_100_000])
+def test_very_long_white_space(text):
+    """The fast encoder gives up on a million of white space; ids stay those of the library."""
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(TokenIds(PATH).ids([text, "short"])[0], "<u4").tolist() == want
