@@ -154,17 +154,33 @@ class Slot:
     def __init__(self, key: str, tag: str, nodes: list[Node]):
         self.key, self.tag, self.nodes = key, tag, nodes
         self.children: list[Slot] = []
-        if tag in CONTAINERS:
-            for node in nodes:
+        self.texts: list[str] = []
+
+    def grow(self) -> Slot:
+        """Build the slots below, each one once, without recursion: pages nest as deep as they like."""
+        waiting = [self]
+        while waiting:
+            slot = waiting.pop()
+            if slot.tag not in CONTAINERS:
+                continue
+            for node in slot.nodes:
                 for child in node.children:
-                    if isinstance(child, str) or child.around or child.tag == "header" and tag not in ("article", "main"):
+                    if isinstance(child, str) or child.around or child.tag == "header" and slot.tag not in ("article", "main"):
                         continue
-                    if self.children and self.children[-1].key == child.key:
-                        self.children[-1].nodes.append(child)
+                    if slot.children and slot.children[-1].key == child.key:
+                        slot.children[-1].nodes.append(child)
                     else:
-                        self.children.append(Slot(child.key, child.tag, [child]))
-            self.children = [x if x.tag not in CONTAINERS else Slot(x.key, x.tag, x.nodes) for x in self.children]
-        self.texts: list[str] = []
+                        slot.children.append(Slot(child.key, child.tag, [child]))
+            waiting += slot.children
+        return self
+
+    def only_child(self) -> Slot | None:
+        """The one container that holds everything in this slot, if there is one."""
+        if len(self.nodes) != 1 or len(self.children) != 1 or self.children[0].tag not in CONTAINERS:
+            return None
+        child = self.children[0]
+        plain = all(x in child.nodes if isinstance(x, Node) else not x.strip() for x in self.nodes[0].children)
+        return child if plain else None
 
     @property
     def size(self) -> int:
@@ -172,7 +188,24 @@ class Slot:
 
 
 def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
-    """Simple tree matching: the largest order-preserving mapping of two trees whose roots have one key."""
+    """Simple tree matching: the largest order-preserving mapping of two trees whose roots have one key.
+
+    The recursion of the algorithm runs on a list of suspended steps, so that deep pages don't exhaust Python's stack.
+    """
+    steps, answer = [_match_step(a, b)], None
+    while steps:
+        try:
+            wanted = steps[-1].send(answer)
+            steps.append(_match_step(*wanted))
+            answer = None
+        except StopIteration as done:
+            steps.pop()
+            answer = done.value
+    return answer
+
+
+def _match_step(a: Slot, b: Slot):
+    """One pair of nodes; yields pairs of children and is sent their results."""
     if a.key != b.key:
         return 0, []
     m, n = len(a.children), len(b.children)
@@ -182,7 +215,7 @@ def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
         for j in range(n):
             here = 0
             if a.children[i].key == b.children[j].key:
-                pairs[i, j] = match(a.children[i], b.children[j])
+                pairs[i, j] = yield a.children[i], b.children[j]
                 here = pairs[i, j][0]
             best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + here)
     mapped, i, j = [(a, b)], m, n
@@ -198,12 +231,15 @@ def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
 
 
 def tree(html: str | None) -> Slot:
-    return Slot("html", "html", [parse(html)])
+    return Slot("html", "html", [parse(html)]).grow()
 
 
 def descend(slot: Slot, weight) -> Slot:
     """The deepest container that still holds most of the varying text; an article or main part ends the way."""
     while slot.tag not in ("article", "main"):
+        if (child := slot.only_child()) is not None:
+            slot = child
+            continue
         whole = weight(slot)
         inner = [x for x in slot.children if x.tag in CONTAINERS and weight(x) > 0.6 * whole]
         if not whole or not inner:
@@ -246,25 +282,26 @@ def induce(pages: list[str | None]) -> str:
     if len(trees) < 4 or len(shown) < len(trees) or not small:
         fixed = set()
 
-    def plain(slot: Slot) -> dict:
-        out = {"key": slot.key, "tag": slot.tag, "children": [plain(x) for x in slot.children]}
-        return out | {"content": True} if slot is content else out
-
-    return json.dumps({"tree": plain(first), "fixed": sorted(fixed)})
+    # A flat list (key, tag, place of the parent): parents come before their children, however deep the page is.
+    slots, parents = [first], [-1]
+    for at, slot in enumerate(slots):
+        slots += slot.children
+        parents += [at] * len(slot.children)
+    nodes = [(slot.key, slot.tag, parent) for slot, parent in zip(slots, parents)]
+    at = next(i for i, slot in enumerate(slots) if slot is content)
+    return json.dumps({"nodes": nodes, "content": at, "fixed": sorted(fixed)})
 
 
 class Wrapper:
     def __init__(self, spec: str):
         loaded = json.loads(spec)
-        self.fixed, self.content = set(loaded["fixed"]), None
-        self.tree = self._slot(loaded["tree"])
-
-    def _slot(self, spec: dict) -> Slot:
-        slot = Slot(spec["key"], spec["tag"], [])
-        slot.children = [self._slot(x) for x in spec["children"]]
-        if spec.get("content"):
-            self.content = slot
-        return slot
+        self.fixed = set(loaded["fixed"])
+        slots: list[Slot] = []
+        for key, tag, parent in loaded["nodes"]:
+            slots.append(Slot(key, tag, []))
+            if parent >= 0:
+                slots[parent].children.append(slots[-1])
+        self.tree, self.content = slots[0], slots[loaded["content"]]
 
     def extract(self, html: str | None) -> list[str]:
         """Blocks of a page's content slot; a page that the wrapper does not fit is searched for its own largest part."""

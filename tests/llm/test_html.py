@@ -56,3 +56,33 @@ def test_odd_rows(spark):
     found = main_text(frame).collect()
     assert sorted(x["text"] for x in found) == ["", "", "", "deep", "plain & simple"]
     assert main_text(frame.where("false")).count() == 0
+
+
+def nested(depth, inner, tag="div"):
+    return f"<{tag}>" * depth + inner + f"</{tag}>" * depth
+
+
+def test_deep_containers(spark):
+    """Time must not double with each level, and Python's stack must not end the page."""
+    body = "".join(f"<p>Part {i} of a long and quiet story.</p>" for i in range(5))
+    want = " ".join(f"Part {i} of a long and quiet story." for i in range(5))
+    rows = [(d, f"http://deep{d}.example/{k}", f"<html><body>{nested(d, body.replace('quiet', f'quiet {k}'))}</body></html>") for d in (20, 60, 3000) for k in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {(r.page_id, r.url[-1]): r.text for r in main_text(frame).collect()}
+    assert found == {(d, str(k)): want.replace("quiet", f"quiet {k}") for d in (20, 60, 3000) for k in range(3)}
+
+
+def test_each_slot_is_built_once():
+    page = "<body>" + nested(40, "<div class=x><p>one</p></div><div class=x><p>two</p></div><section>three</section>") + "</body>"
+    slots, waiting = [], [tree(page)]
+    while waiting:
+        slots.append(waiting.pop())
+        waiting += slots[-1].children
+    assert len({id(x) for x in slots}) == len(slots) == 1 + 1 + 40 + 2 + 1
+    assert [len(x.nodes) for x in slots if x.key == "div x"] == [2]
+
+
+def test_matching_of_deep_trees_counts_their_nodes():
+    a, b = (tree(nested(2000, f"<p>{word}</p>")) for word in ("one", "two"))
+    score, pairs = match(a, b)
+    assert score == len(pairs) == 2002
