@@ -9,7 +9,11 @@ from stripgrid.llm import negatives
 from stripgrid.llm.negatives import Fields, hard_negatives
 
 SCHEMA = "vec_id long, label int, embedding array<float>"
-ANCHOR, LABEL = F.expr("vec_id % 10 = 0"), F.col("label")
+
+
+def mine(frame):
+    """Every tenth row is an anchor."""
+    return hard_negatives(frame, F.expr("vec_id % 10 = 0"), F.col("label"))
 
 
 def brute(rows, positives=5, negatives=10):
@@ -44,7 +48,7 @@ def test_all_pairs_brute_force(spark, seed, scale):
     rows = vectors(seed, scale=scale)
     frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
     want = brute(rows)
-    assert found(hard_negatives(frame, ANCHOR, LABEL)) == want and want
+    assert found(mine(frame)) == want and want
 
 
 def test_slices_blocks_and_a_hot_label(spark, monkeypatch):
@@ -52,7 +56,7 @@ def test_slices_blocks_and_a_hot_label(spark, monkeypatch):
     monkeypatch.setattr(negatives, "ANCHORS", 7)
     rows = [(i, 0 if i % 3 else i % 5, [1.0, 0.5, float(i % 4)]) for i in range(400)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    assert found(hard_negatives(frame, ANCHOR, LABEL)) == brute(rows)
+    assert found(mine(frame)) == brute(rows)
 
 
 def test_rows_without_a_part(spark):
@@ -72,21 +76,21 @@ def test_rows_without_a_part(spark):
     frame = spark.createDataFrame(rows + odd, SCHEMA)
     for name in ("key", "score", "rank", "anchor", "kind", "vector"):
         frame = frame.withColumn(name, F.lit("clash"))
-    assert found(hard_negatives(frame, ANCHOR, LABEL)) == brute(rows)
+    assert found(mine(frame)) == brute(rows)
 
 
 def test_empty_tables(spark):
     frame = spark.createDataFrame([], SCHEMA)
-    assert hard_negatives(frame, ANCHOR, LABEL).collect() == []
+    assert mine(frame).collect() == []
     lonely = spark.createDataFrame([(1, 1, [1.0, 2.0])], SCHEMA)
-    assert hard_negatives(lonely, ANCHOR, LABEL).columns == negatives.OUT
-    assert hard_negatives(lonely, ANCHOR, LABEL).collect() == []
+    assert mine(lonely).columns == negatives.OUT
+    assert mine(lonely).collect() == []
 
 
 def test_too_large_components_are_an_error(spark):
     frame = spark.createDataFrame([(0, 1, [1e30, 2.0]), (1, 1, [1.0, 2.0])], SCHEMA)
     with pytest.raises(RUN_ERRORS, match="beyond 32 bits"):
-        hard_negatives(frame, ANCHOR, LABEL).collect()
+        mine(frame).collect()
 
 
 @pytest.mark.parametrize("least,most", [(-148, 133), (0, 1), (-(2**20), 2**20), (-(2**31) + 1, 2**31 - 1), (5, 5)])

@@ -58,7 +58,8 @@ def texts(seed):
     draw = random.Random(seed)
     base = ["".join(draw.choice("abÉ") for _ in range(draw.randint(5, 9))) for _ in range(60)]
     pool = [w for w in base for _ in range(draw.choice([1, 2, 30, 200]))]
-    return [(i, " ".join(draw.choice([str.upper, str, str.title])(draw.choice(pool)) for _ in range(90))) for i in range(80)]
+    chain = [(-i, " ".join(["chainaa"] * (i < 8) + ["Chainab"] * (i < 45) + ["CHAINBB"])) for i in range(1, 300)]
+    return chain + [(i, " ".join(draw.choice([str.upper, str, str.title])(draw.choice(pool)) for _ in range(90))) for i in range(80)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
