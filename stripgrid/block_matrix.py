@@ -373,10 +373,10 @@ class BlockMatrix:
         if self.length() > INT_MAX:
             raise ValueError(f"cannot collect a matrix of size {self.n_rows} x {self.n_cols} to a local array")
         local = np.zeros(self.dim)
-        for block in self.df.collect():
-            rows = slice(block.row_start, block.row_start + block.n_rows)
-            cols = slice(block.col_start, block.col_start + block.n_cols)
-            local[rows, cols] = np.array(block.vals).reshape(block.n_rows, block.n_cols)
+        for batch in self.df.toArrow().to_batches():
+            places = zip(*(batch.column(name).to_pylist() for name in POSITION[2:]))
+            for (top, left, height, width), vals in zip(places, batch.column("vals")):
+                local[top : top + height, left : left + width] = vals.values.to_numpy().reshape(height, width)
         return local
 
 

@@ -15,6 +15,8 @@ from .folding import Gram, check_width, fold_rows
 # Up to this many columns one hash aggregate with all the sums beats shipping rows to Python workers.
 GENERATED_GRAM = 8
 GENERATED_PRODUCT = 256
+# Numbers of a local matrix that may travel with every task (128 MiB).
+LOCAL_CELLS = 2**24
 
 
 def gram_rows(frame: DataFrame, parts: list[Cells], key: str | None = None) -> DataFrame:
@@ -60,6 +62,8 @@ def times_local(frame: DataFrame, cells: Cells, local: np.ndarray, keep: list[st
     local = np.asarray(local, dtype=np.float64)
     if local.ndim != 2 or local.shape[0] != cells.width:
         raise ValueError(f"cannot multiply {cells.width} columns by a local matrix of shape {local.shape}")
+    if local.size > LOCAL_CELLS:
+        raise ValueError(f"a local matrix of {local.shape} is too large to travel with tasks; multiply by a block matrix")
     if local.size <= GENERATED_PRODUCT:
         return frame.select(*keep, F.array(*product_items(cells, local)).cast(VECTOR).alias(out))
     source = frame.select(*keep, *cells.columns())

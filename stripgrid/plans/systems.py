@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import matrix_of, matrix_to_lists
 from ..functions.dense import condition_one_norm, condition_two_norm
+from ..functions.lineage import cut_lineage
 from ..layout import Packed
 from ..operators.folding import ColumnReduce, fold_rows
 from ..row_matrix import RowMatrix
@@ -106,7 +107,9 @@ def linear_systems(
         for theta in thetas:
             sigma = float(condition) ** (-np.arange(n) / n)
             known.append(KnownSystem(len(known), condition, theta, sigma[:, None] * v, rng.random((n, n_targets))))
-    return SystemSet(thin_qr(left).q, known)
+    u = thin_qr(left).q
+    # Every system and every pass over it reads U: it is written down instead of generated and projected again.
+    return SystemSet(u.replace(cut_lineage(u.base), u.cells), known)
 
 
 def accuracy_report(systems: SystemSet, solvers: dict[str, Solver] | None = None) -> DataFrame:

@@ -277,7 +277,7 @@ def _merge_level(level: DataFrame, group, width: int) -> DataFrame:
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("node").combine_chunks()
-        factors = [np.array(r).reshape(-1, width) for r in table.column("r").to_pylist()]
+        factors = [r.values.to_numpy().reshape(-1, width) for r in table.column("r").combine_chunks()]
         q, r = positive_qr(np.vstack(factors))
         cuts = np.cumsum([len(f) for f in factors])[:-1]
         return pa.table(

@@ -116,9 +116,11 @@ class RowMatrix:
         if keep_rows:
             mapped = shape.map_strips_in_place(self, fn, rows_per_strip, out_cols)
             return self.replace(mapped, Packed("vec", out_cols))
+        from .functions.lineage import cut_lineage
         from .sources.tables import from_strips
 
-        return from_strips(shape.map_strips_to_strips(self, fn, rows_per_strip), n_cols=out_cols)
+        # Written down, because both the start rows and the values need the strips: ``fn`` runs once for each.
+        return from_strips(cut_lineage(shape.map_strips_to_strips(self, fn, rows_per_strip)), n_cols=out_cols)
 
     def pow(self, exponent: float) -> RowMatrix:
         return self.map_elements(lambda x: F.pow(x, F.lit(float(exponent))))
@@ -256,6 +258,13 @@ class RowMatrix:
         return self.multiply(other)
 
     def times_local(self, local: np.ndarray) -> RowMatrix:
+        """Product with a matrix that is on the driver. Up to ``products.LOCAL_CELLS`` numbers travel with the tasks; a larger
+        one is dealt out as blocks."""
+        local = np.asarray(local, dtype=np.float64)
+        if local.size > products.LOCAL_CELLS:
+            from .sources.grids import blocks_of_local
+
+            return self.multiply(blocks_of_local(self.base.sparkSession, local))
         product = products.times_local(self.base, self.cells, local, self._key_columns(), "vec")
         return self.replace(product, Packed("vec", np.asarray(local).shape[1]))
 

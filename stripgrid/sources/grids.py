@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..block_matrix import BlockMatrix, Steps
+from ..block_matrix import POSITION, BlockMatrix, Steps
 from ..functions.lineage import cut_lineage
 from ..functions.prefix import running_start
 from ..layout import explode_cells
@@ -94,6 +96,19 @@ def _block_of(key: str, rows_per_block: int):
     return (F.expr(f"`{key}` div {rows_per_block}")).cast("int").alias("block_row")
 
 
+def blocks_of_local(spark: SparkSession, local: np.ndarray, size: int = 512) -> BlockMatrix:
+    """A NumPy matrix as a grid of ``size`` x ``size`` blocks."""
+    rows, cols = local.shape
+    data = [
+        (i // size, j // size, i, j, min(size, rows - i), min(size, cols - j), local[i : i + size, j : j + size].ravel())
+        for i in range(0, rows, size)
+        for j in range(0, cols, size)
+    ]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+    table = pa.table([pa.array([row[c] for row in data], kind) for c, kind in enumerate(kinds)], names=[*POSITION, "vals"])
+    return BlockMatrix(spark.createDataFrame(table), (rows, cols), (Steps(size, size), Steps(size, size)))
+
+
 def stack_columns(parts: Sequence[RowMatrix], rows_per_block: int) -> BlockMatrix:
     """Column blocks of one matrix, side by side in the order given, as a grid with one block column per part.
 

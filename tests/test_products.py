@@ -137,3 +137,23 @@ def test_gram_of_5000_columns(spark):
 def test_gram_of_an_empty_matrix(spark):
     empty = rows_of(spark, A).replace(rows_of(spark, A).base.where("false"), Packed("vec", 23))
     assert gram_cells(gram_blocks(empty.base, [empty.cells], 7)).count() == 0
+
+
+def test_a_large_local_matrix_is_dealt_out(spark, monkeypatch):
+    from stripgrid.operators import products
+
+    monkeypatch.setattr(products, "LOCAL_CELLS", 100)
+    assert np.allclose(rows_of(spark, A).times_local(B).to_local(), A @ B, atol=1e-12)
+    with pytest.raises(ValueError, match="too large to travel"):
+        products.times_local(rows_of(spark, A).base, rows_of(spark, A).cells, B, ["row_id"], "vec")
+
+
+def test_a_resizing_strip_function_runs_once_per_strip(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def means(rows):
+        calls.add(1)
+        return rows.mean(axis=0)
+
+    found = rows_of(spark, A).map_strips(means, 10, keep_rows=False).to_local()
+    assert np.allclose(found, [A[i : i + 10].mean(axis=0) for i in (0, 10, 20, 30)]) and calls.value == 4
