@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import matrix_of, matrix_to_lists
-from ..functions.dense import gradient_steps, positive_r, ridge_from_gram, ridge_from_r
+from ..functions.dense import gradient_steps, positive_r, ridge_from_gram, ridge_from_r, solve_named
 from ..functions.monoids import monoid
-from ..layout import LOCAL_WIDTH, NARROW, Cells, Packed, Wide, explode_cells
+from ..layout import LOCAL_WIDTH, NARROW, Cells, Packed, Wide
 from ..operators.folding import ColumnReduce, Gram, RFactor, fold_rows
 from ..operators.products import GENERATED_GRAM, GENERATED_PRODUCT, gram_rows, product_items, times_local
 from ..row_matrix import RowMatrix, paired_rows
-from ..sources.random import replayable_uniform
+from ..sources.random import replayable_below, replayable_steps, replayable_uniform
 from ..sources.tables import from_columns
 from .tall_qr import collect_square, r_rows, squares_of
 
@@ -184,6 +184,13 @@ class NormalEquations(Solver):
         gram = squares[0]
         return ridge_from_gram(gram[:n, :n], gram[:n, n:], lam)
 
+    def local_or_nan(self, square, n):
+        """For reports on accuracy: what the equations give even where ``solve`` refuses them as singular to precision."""
+        try:
+            return solve_named(square[:n, :n], square[:n, n:], 0.0)
+        except ValueError:
+            return np.full((n, square.shape[1] - n), np.nan)
+
     def change_basis(self, square, basis):
         return basis.T @ square @ basis
 
@@ -229,10 +236,10 @@ class GradientDescent(Solver):
             return gram_rows(counted, parts)
         # Each task adds up its rows per step before anything is shuffled.
         width = sum(part.width for part in parts)
-        counted = counted.withColumn("_steps", self._drawn_steps(key))
+        key, rule = _required(key), (self.steps, self.seed, self.batch_fraction)
         if width <= GENERATED_GRAM:
-            return gram_rows(explode_cells(counted, ["*"], F.col("_steps"), "_at", "_step"), parts, "_step")
-        return fold_rows(counted, parts, Gram(width), "_steps")
+            return gram_rows(replayable_steps(counted, key, *rule, "_step"), parts, "_step")
+        return fold_rows(counted.withColumn("_steps", replayable_below(key, *rule)), parts, Gram(width), "_steps")
 
     def summarize_expanded(self, matrix, expand, width):
         if self.batch_fraction < 1.0:
@@ -244,15 +251,6 @@ class GradientDescent(Solver):
 
         return fold_rows(matrix.base, [matrix.cells], Gram(width + 1), expand=counted)
 
-    def _drawn_steps(self, key: Column) -> Column:
-        return F.filter(F.sequence(F.lit(1), F.lit(self.steps)), lambda t: self._drawn(key, t))
-
-    def _drawn(self, key: Column | None, step: Column) -> Column:
-        """Whether a row is in the batch of a step: a function of its key alone, the same on every route."""
-        if key is None:
-            raise ValueError("sampled batches need a row key; build the system with row_id=...")
-        return replayable_uniform(key, step, self.seed) < self.batch_fraction
-
     def local(self, squares, n, lam):
         moments = squares.get if self.batch_fraction < 1.0 else lambda t: squares[0]
         return gradient_steps(moments, n, self.steps, self.step_size, lam)
@@ -269,13 +267,14 @@ class GradientDescent(Solver):
     def solve_by_steps(self, system: System, lams: list[float], columns: list[range]) -> DataFrame:
         """When the summaries would be too large: one gradient pass per step, only n numbers per task."""
         spark, n = system.base.sparkSession, system.n_cols
-        key = F.col(system.key) if system.key else None
+        sampled = self.batch_fraction < 1.0
+        key = _required(F.col(system.key) if system.key else None) if sampled else None
         chosen = [c[0] for c in columns]
         weights = np.zeros((n, len(lams)))
         for t in range(1, self.steps + 1):
             batch = system.base
-            if self.batch_fraction < 1.0:
-                batch = batch.filter(self._drawn(key, F.lit(t)))
+            if sampled:
+                batch = batch.filter(replayable_uniform(key, F.lit(t), self.seed) < self.batch_fraction)
             total = collect_square(_gradient(batch, system, weights, chosen), n * len(lams) + 1)
             if len(total) == 0 or total[0, -1] == 0:
                 continue
@@ -286,6 +285,11 @@ class GradientDescent(Solver):
         return spark.createDataFrame(pa.Table.from_batches(batches))
 
 
+def _required(key: Column | None) -> Column:
+    """Whether a row is in the batch of a step depends on its key alone, on every route; so there must be one."""
+    if key is None:
+        raise ValueError("sampled batches need a row key; build the system with row_id=...")
+    return key
 
 
 def _gradient(batch: DataFrame, system: System, weights: np.ndarray, chosen: list[int]) -> DataFrame:

@@ -28,13 +28,44 @@ def replayable_uniform(key: Column, step: Column, seed: int) -> Column:
     With k = key mod p + 40692 (key div p): a = 48271 k + 69621 step + seed, b = a^2 + 16807 a + step,
     c = b^2 + 39373 b + k, each modulo p = 2^31 - 1; the result is c / p.
     """
+    k = _folded(key)
+    return _third(_second(_first(k, step, seed), step), k)
+
+
+def replayable_below(key: Column, steps: int, seed: int, limit: float) -> Column:
+    """The steps 1 .. ``steps`` whose uniform for this key is below ``limit``, as an array.
+
+    The stages are arrays of their own, because a lambda would work out each repeated term anew."""
+    every, k = F.sequence(F.lit(1), F.lit(steps)), _folded(key)
+    first = F.transform(every, lambda t: _first(k, t, seed))
+    second = F.zip_with(first, every, _second)
+    drawn = F.zip_with(second, every, lambda b, t: F.when(_third(b, k) < limit, t))
+    return F.filter(drawn, lambda t: t.isNotNull())
+
+
+def replayable_steps(frame: DataFrame, key: Column, steps: int, seed: int, limit: float, step: str) -> DataFrame:
+    """A row for each step that ``replayable_below`` gives, with the step in a column: the same in compiled code."""
+    rows = frame.withColumn("_k", _folded(key)).withColumn(step, F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    rows = rows.withColumn("_a", _first(F.col("_k"), F.col(step), seed)).withColumn("_b", _second(F.col("_a"), F.col(step)))
+    return rows.where(_third(F.col("_b"), F.col("_k")) < limit).drop("_k", "_a", "_b")
+
+
+def _folded(key: Column) -> Column:
     p = F.lit(PRIME).cast("bigint")
-    key, step = key.cast("bigint"), step.cast("bigint")
-    k = F.pmod(F.pmod(key, p) + F.lit(MIX[2]) * F.pmod(F.call_function("div", key, p), p), p)
-    a = F.pmod(F.lit(MIX[0]) * k + F.lit(MIX[1]) * step + F.lit(seed % PRIME), p)
-    b = F.pmod(a * a + F.lit(MIX[3]) * a + step, p)
-    c = F.pmod(b * b + F.lit(MIX[4]) * b + k, p)
-    return c / F.lit(float(PRIME))
+    key = key.cast("bigint")
+    return F.pmod(F.pmod(key, p) + F.lit(MIX[2]) * F.pmod(F.call_function("div", key, p), p), p)
+
+
+def _first(k: Column, step: Column, seed: int) -> Column:
+    return F.pmod(F.lit(MIX[0]) * k + F.lit(MIX[1]) * step.cast("bigint") + F.lit(seed % PRIME), F.lit(PRIME).cast("bigint"))
+
+
+def _second(a: Column, step: Column) -> Column:
+    return F.pmod(a * a + F.lit(MIX[3]) * a + step.cast("bigint"), F.lit(PRIME).cast("bigint"))
+
+
+def _third(b: Column, k: Column) -> Column:
+    return F.pmod(b * b + F.lit(MIX[4]) * b + k, F.lit(PRIME).cast("bigint")) / F.lit(float(PRIME))
 
 
 def uniform_cells(row: Column, n_cols: int, seed: int) -> Column:

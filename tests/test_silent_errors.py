@@ -7,7 +7,7 @@ from stripgrid.functions.dense import numerical_rank
 from stripgrid.layout import Packed
 from stripgrid.plans.least_squares import GradientDescent, NormalEquations, QrTree, System, relative_error
 from stripgrid.sources.grids import to_grid
-from stripgrid.sources.random import replayable_uniform
+from stripgrid.sources.random import replayable_below, replayable_steps, replayable_uniform
 from stripgrid.sources.tables import from_arrays
 
 
@@ -93,3 +93,12 @@ def test_replayable_uniform_is_uniform_and_steps_are_unrelated(spark):
         related = np.corrcoef(drawn.T.to_numpy()) - np.eye(4)
         assert np.abs(related).max() < 0.02
         assert np.abs(np.corrcoef(drawn["t1"][1:], drawn["t1"][:-1])[0, 1]) < 0.02
+
+
+def test_all_forms_of_the_sampling_rule_agree(spark):
+    keys = spark.range(-20, 200).withColumn("id", F.col("id") * 987_654_321)
+    arrays = keys.select("id", F.explode(replayable_below(F.col("id"), 9, 42, 0.3)).alias("t"))
+    rows = replayable_steps(keys, F.col("id"), 9, 42, 0.3, "t").select("id", "t")
+    single = keys.crossJoin(spark.range(1, 10).selectExpr("cast(id as int) t")).where(replayable_uniform(F.col("id"), F.col("t"), 42) < 0.3)
+    found = [{tuple(r) for r in frame.collect()} for frame in (arrays, rows, single)]
+    assert found[0] == found[1] == found[2] and 300 < len(found[0]) < 900
