@@ -101,8 +101,8 @@ def test_transpose_of_blocks(spark):
     assert turned.dim == (23, 37) and np.array_equal(turned.to_local(), A.T)
     assert np.array_equal(turned.T.to_local(), A)
     assert np.array_equal(turned[4:20, 8:31].to_local(), A.T[4:20, 8:31])
-    plan = turned.df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1  # the one that builds the grid
+    plan = grid_of(spark, A, 10, 5).T.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the one that builds the grid
     gram = (turned @ grid).to_local()
     assert np.allclose(gram, A.T @ A, atol=1e-12)
 
