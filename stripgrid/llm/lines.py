@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,10 @@ from stripgrid.functions.lineage import cut_lineage
 from stripgrid.llm.common import fresh
 from stripgrid.llm.groups import components, linked_pairs
 
-BITS, LANES = 63, 21
-RADIUS = 2
-BLOCKS = (16, 16, 16, 15)
+CLASSES, LANES = 4, 5  # a word belongs to one class; a class has a block of three bits a lane
 SIMILARITY = 0.9
+FEWEST = math.ceil(round(1 / (1 - SIMILARITY), 6)) - 1  # one edit in a shorter line is already too much
+COUNTED = 2**15  # of a line with k times as many distinct words, one in k (by hash) is counted
 SENT_ROWS = 100_000
 
 
@@ -29,39 +30,50 @@ def weight_of(word: Column) -> Column:
 
 
 def fingerprints(words: DataFrame, identity: list[str]) -> DataFrame:
-    """SimHash of the words of each line: the bits that words of more than half of the weight have set in their hash.
+    """(identity, print, pairs): SimHash of the words (word, every) of each line, in one block for each class of words.
 
-    63 bits are counted, three at a time: a sum of longs holds three counters of 21 bits. Counting is exact for lines of
-    up to 2^20 letters in distinct words; the print of a longer one is still a function of its words alone.
+    A word's hash says which class it is in and which bits it sets there; a bit of a block is set if words of more than half of the
+    class's weight set it. So an edit of a word touches the blocks of one or two classes, and the others stay the same.
+    ``pairs`` has a bit for each pair of classes that holds a quarter of the line's weight or more. 15 bits a class are counted, three
+    at a time: a sum of longs holds three counters of 21 bits. ``COUNTED`` keeps the counters from overflowing.
     """
-    hashed = words.select(*identity, F.xxhash64("word").alias("hash"), weight_of(F.col("word")).alias("weight"))
+    hashed = words.select(*identity, F.xxhash64("word").alias("hash"), weight_of(F.col("word")).alias("weight"), "every")
+    at = F.pmod(F.shiftrightunsigned("hash", 60), F.lit(CLASSES))
+    counts = F.shiftrightunsigned("hash", 20) % F.col("every") == 0
     ones = 1 + 2**21 + 2**42
-    lanes = {}
-    for lane in range(LANES):
-        bits = F.shiftright("hash", 3 * lane).bitwiseAND(F.lit(7).cast("long"))
-        lanes[f"lane{lane}"] = (bits * F.lit(1 + 2**20 + 2**40)).bitwiseAND(F.lit(ones)) * F.col("weight")
-    sums = [F.try_sum(x).alias(x) for x in ("weight", *lanes)]
-    counted = hashed.select(*identity, "weight", *[x.alias(name) for name, x in lanes.items()]).groupBy(*identity).agg(*sums)
+    spread = [
+        ((F.shiftright("hash", 3 * lane).bitwiseAND(F.lit(7).cast("long")) * F.lit(1 + 2**20 + 2**40)).bitwiseAND(F.lit(ones)) * F.col("weight")).alias(f"lane{lane}")
+        for lane in range(LANES)
+    ]
+    sums = hashed.select(*identity, F.when(counts, at).alias("at"), "weight", *spread)
+    parts = [(c, x) for c in range(CLASSES) for x in ("weight", *[f"lane{lane}" for lane in range(LANES)])]
+    counted = sums.groupBy(*identity).agg(*[F.sum(F.when(F.col("at") == c, F.col(x))).alias(f"{x}_{c}") for c, x in parts])
+    counted = counted.na.fill(0, [f"{x}_{c}" for c, x in parts])
     # Adding 2^20 - threshold to each counter sets its upper bit where the counter reaches the threshold.
-    half = F.lit(2**20) - F.least(F.expr("weight div 2") + 1, F.lit(2**20))
-    counted = counted.where("weight > 0").withColumn("half", half * F.lit(ones))
     out = F.lit(0).cast("long")
-    for lane in range(LANES):
-        full = F.coalesce(f"lane{lane}", F.lit(0)).bitwiseAND(F.lit((2**20 - 1) * ones)) + F.col("half")
-        for part in range(3):
-            bit = F.shiftright(full, 20 + 21 * part - part).bitwiseAND(F.lit(1 << part).cast("long"))
-            out = out.bitwiseOR(F.shiftleft(bit, 3 * lane))
-    return counted.select(*identity, out.alias("print"))
-
-
-def blocks(fingerprint: Column) -> Column:
-    """Keys of all pairs of blocks: fingerprints that differ in two bits agree in at least two of the four blocks."""
-    parts, at = [], 0
-    for width in BLOCKS:
-        parts.append(F.shiftright(fingerprint, at).bitwiseAND(F.lit((1 << width) - 1)))
-        at += width
-    pairs = combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)
-    return F.array(*[F.xxhash64(F.lit(i), *[parts[x] for x in chosen]) for i, chosen in enumerate(pairs)])
+    for c in range(CLASSES):
+        half = (F.lit(2**20) - F.expr(f"weight_{c} div 2") - 1) * F.lit(ones)
+        for lane in range(LANES):
+            full = F.col(f"lane{lane}_{c}") + half
+            for part in range(3):
+                bit = F.shiftright(full, 20 + 21 * part - part).bitwiseAND(F.lit(1 << part).cast("long"))
+                out = out.bitwiseOR(F.shiftleft(bit, 3 * (LANES * c + lane)))
+    weight = sum((F.col(f"weight_{c}") for c in range(1, CLASSES)), F.col("weight_0"))
+    pairs = F.lit(0)
+    for i, (x, y) in enumerate(combinations(range(CLASSES), 2)):
+        pairs = pairs + F.when((F.col(f"weight_{x}") + F.col(f"weight_{y}")) * 4 >= weight, F.lit(1 << i)).otherwise(F.lit(0))
+    return counted.select(*identity, out.alias("print"), pairs.alias("pairs"))
+
+
+def blocks(fingerprint: Column, pairs: Column) -> Column:
+    """Keys of all pairs of blocks that hold enough of the line: a changed word leaves at least two of the four blocks as they are."""
+    width = 3 * LANES
+    parts = [F.shiftright(fingerprint, width * c).bitwiseAND(F.lit((1 << width) - 1)) for c in range(CLASSES)]
+    keys = [
+        F.when(pairs.bitwiseAND(F.lit(1 << i)) != 0, F.xxhash64(F.lit(i), parts[x], parts[y]))
+        for i, (x, y) in enumerate(combinations(range(CLASSES), 2))
+    ]
+    return F.array_compact(F.array(*keys))
 
 
 def word_letters(normal: Column) -> Column:
@@ -78,21 +90,27 @@ def _lines(frame: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def occurrences(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, row_id, line_no, node, check, print) of lines with a letter or digit: identity (two hashes) and SimHash."""
-    named = _lines(frame, key, text).select(
-        "key", "row_id", "line_no", "normal", F.xxhash64("normal").alias("node"), F.xxhash64(F.lit(1), "normal").alias("check")
+    """(key, row_id, line_no, node, check, n_words, print, pairs) of lines with a letter or digit: identity (two hashes) and SimHash.
+
+    Lines of under ``FEWEST`` words resemble no other line and have no print.
+    """
+    named = _lines(frame, key, text).where("normal != ''").withColumn("words", F.split("normal", " "))
+    named = named.select(
+        "key", "row_id", "line_no", F.xxhash64("normal").alias("node"), F.xxhash64(F.lit(1), "normal").alias("check"), F.size("words").alias("n_words"), "words"
     )
-    identity = ["key", "row_id", "line_no", "node", "check"]
-    words = named.select(*identity, F.explode(F.array_distinct(F.split("normal", " "))).alias("word"))
-    return fingerprints(words, identity)
+    identity = ["key", "row_id", "line_no", "node", "check", "n_words"]
+    none = F.array(F.lit(None).cast("string"))
+    words = named.select(*identity, F.when(F.col("n_words") >= FEWEST, F.array_distinct("words")).otherwise(none).alias("words"))
+    every = F.ceil(F.size("words") / F.lit(COUNTED)).alias("every")
+    return fingerprints(words.select(*identity, every, F.explode("words").alias("word")), identity)
 
 
 def line_groups(frame: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Returns (occurrences, repeated): ``repeated`` has (node, group, first) for lines that occur or resemble more than once.
 
-    Lines are alike if their normal forms are equal, or if their fingerprints differ in at most ``RADIUS`` bits and
-    their edit similarity 1 - 2d / (|a| + |b| + d), where d words are added, removed or replaced, is ``SIMILARITY`` or more. Both
-    measures are metrics, so crowded buckets are settled against pivots (``groups.linked_pairs``).
+    Lines are alike if their normal forms are equal, or if their edit similarity 1 - 2d / (|a| + |b| + d), where d words are added,
+    removed or replaced, is ``SIMILARITY`` or more. Fingerprints only find the pairs that are compared: those that
+    agree in two blocks. The measure is a metric, so crowded buckets are settled against pivots (``groups.linked_pairs``).
     """
     found = cut_lineage(occurrences(frame, key, text))
     place = F.struct(F.col("key").isNull().alias("no_key"), "key", "row_id", "line_no")
@@ -101,24 +119,27 @@ def line_groups(frame: DataFrame, key: str = "doc_id", text: str = "text") -> tu
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min(place).alias("first"),
+            F.min("n_words").alias("n_words"),
             F.min("print").alias("print"),
+            F.min("pairs").alias("pairs"),
             F.min("check").alias("check"),
             F.max("check").alias("other_check"),
         )
         .where(F.col("check") == F.col("other_check"))  # two lines with one hash: neither is touched
-        .select("node", "n", "first", "print")
+        .select("node", "n", "first", "n_words", "print", "pairs")
     )
-    members = nodes.select("node", F.explode(blocks(F.col("print"))).alias("bucket"))
+    members = nodes.where(F.col("n_words") >= FEWEST).select("node", F.explode(blocks(F.col("print"), F.col("pairs"))).alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     reach = 1 - SIMILARITY
-    facts = nodes.select("node", "print", "first")
+    facts = nodes.select("node", "n_words", "first")
 
     def distances(pairs: DataFrame) -> DataFrame:
         sides = [facts.select(*[F.col(x).alias(f"{x}_{end}") for x in facts.columns]) for end in "ab"]
-        printed = pairs.join(sides[0].withColumnRenamed("node_a", "a"), "a").join(sides[1].withColumnRenamed("node_b", "b"), "b")
-        bits = F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b")))
-        printed = cut_lineage(printed.select("a", "b", "first_a", "first_b", (bits * (reach / RADIUS)).alias("apart")))
-        near = printed.where(F.col("apart") <= 2 * reach + 1e-9)
+        sized = pairs.join(sides[0].withColumnRenamed("node_a", "a"), "a").join(sides[1].withColumnRenamed("node_b", "b"), "b")
+        apart = F.abs(F.col("n_words_a") - F.col("n_words_b"))  # no pair is nearer than its lengths allow
+        bound = 2 * apart / (F.col("n_words_a") + F.col("n_words_b") + apart)
+        sized = cut_lineage(sized.select("a", "b", "first_a", "first_b", bound.alias("bound")))
+        near = sized.where(F.col("bound") <= 2 * reach + 1e-9)
         wanted = near.select("a", "first_a").unionByName(near.select(F.col("b").alias("a"), F.col("first_b").alias("first_a")))
         wanted = wanted.distinct().select(F.col("a").alias("node"), F.col("first_a.row_id").alias("row_id"), F.col("first_a.line_no").alias("line_no"))
         rows = frame.select(F.xxhash64(key, F.lit("|"), text).alias("row_id"), F.col(text).alias("text"))
@@ -135,8 +156,8 @@ def line_groups(frame: DataFrame, key: str = "doc_id", text: str = "text") -> tu
         edits = F.expr("levenshtein(line_a, line_b, most)")
         edit = F.when(F.col("edits") < 0, 1.0).otherwise(2 * F.col("edits") / (F.col("long") + F.col("edits")))
         measured = both.withColumns({"long": long, "most": most}).withColumn("edits", edits)
-        measured = measured.select("a", "b", F.greatest("apart", edit).alias("distance"))
-        return measured.unionByName(printed.where(F.col("apart") > 2 * reach + 1e-9).select("a", "b", F.col("apart").alias("distance")))
+        measured = measured.select("a", "b", edit.alias("distance"))
+        return measured.unionByName(sized.where(F.col("bound") > 2 * reach + 1e-9).select("a", "b", F.col("bound").alias("distance")))
 
     links = linked_pairs(members.join(shared, "bucket").select("bucket", "node"), distances, reach + 1e-12)
     grouped = components(links).withColumnRenamed("component", "group")
