@@ -15,7 +15,7 @@ from stripgrid.llm.groups import components, linked_pairs
 CLASSES, LANES = 4, 5  # a word belongs to one class; a class has a block of three bits a lane
 SIMILARITY = 0.9
 FEWEST = math.ceil(round(1 / (1 - SIMILARITY), 6)) - 1  # one edit in a shorter line is already too much
-COUNTED = 2**15  # of a line with k times as many distinct words, one in k (by hash) is counted
+COUNTED = 2**15  # of a line with k times as many words, one in k (by hash) is counted
 SENT_ROWS = 100_000
 
 
@@ -30,25 +30,27 @@ def weight_of(word: Column) -> Column:
 
 
 def fingerprints(words: DataFrame, identity: list[str]) -> DataFrame:
-    """(identity, print, pairs): SimHash of the words (word, every) of each line, in one block for each class of words.
+    """(identity, n_words, print, pairs): SimHash of the words (n_words, word) of each line, in one block for each class of words.
 
     A word's hash says which class it is in and which bits it sets there; a bit of a block is set if words of more than half of the
     class's weight set it. So an edit of a word touches the blocks of one or two classes, and the others stay the same.
     ``pairs`` has a bit for each pair of classes that holds a quarter of the line's weight or more. 15 bits a class are counted, three
     at a time: a sum of longs holds three counters of 21 bits. ``COUNTED`` keeps the counters from overflowing.
     """
-    hashed = words.select(*identity, F.xxhash64("word").alias("hash"), weight_of(F.col("word")).alias("weight"), "every")
-    at = F.pmod(F.shiftrightunsigned("hash", 60), F.lit(CLASSES))
-    counts = F.shiftrightunsigned("hash", 20) % F.col("every") == 0
+    hashed = words.select(*identity, F.xxhash64("word").alias("hash"), weight_of(F.col("word")).alias("weight"), "n_words")
+    at = F.shiftrightunsigned("hash", 60).bitwiseAND(F.lit(CLASSES - 1).cast("long"))
+    counts = F.shiftrightunsigned("hash", 20) % F.greatest(F.ceil(F.col("n_words") / COUNTED), F.lit(1)) == 0
     ones = 1 + 2**21 + 2**42
-    spread = [
-        ((F.shiftright("hash", 3 * lane).bitwiseAND(F.lit(7).cast("long")) * F.lit(1 + 2**20 + 2**40)).bitwiseAND(F.lit(ones)) * F.col("weight")).alias(f"lane{lane}")
-        for lane in range(LANES)
-    ]
-    sums = hashed.select(*identity, F.when(counts, at).alias("at"), "weight", *spread)
-    parts = [(c, x) for c in range(CLASSES) for x in ("weight", *[f"lane{lane}" for lane in range(LANES)])]
-    counted = sums.groupBy(*identity).agg(*[F.sum(F.when(F.col("at") == c, F.col(x))).alias(f"{x}_{c}") for c, x in parts])
-    counted = counted.na.fill(0, [f"{x}_{c}" for c, x in parts])
+    lanes = {"weight": F.col("weight")}
+    for lane in range(LANES):
+        bits = F.shiftright("hash", 3 * lane).bitwiseAND(F.lit(7).cast("long"))
+        lanes[f"lane{lane}"] = (bits * F.lit(1 + 2**20 + 2**40)).bitwiseAND(F.lit(ones)) * F.col("weight")
+    masks = [F.when(counts & (at == c), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long")).alias(f"in_{c}") for c in range(CLASSES)]
+    spread = hashed.withColumn("weight", F.coalesce("weight", F.lit(0).cast("long")))
+    spread = spread.select(*identity, "n_words", *[x.alias(name) for name, x in lanes.items()], *masks)
+    sums = [F.sum(F.col(x).bitwiseAND(F.col(f"in_{c}"))).alias(f"{x}_{c}") for c in range(CLASSES) for x in lanes]
+    # A filter on the aggregate stays above it; below, lines would be normalised twice.
+    counted = spread.groupBy(*identity).agg(F.max("n_words").alias("n_words"), *sums).where("n_words > 0")
     # Adding 2^20 - threshold to each counter sets its upper bit where the counter reaches the threshold.
     out = F.lit(0).cast("long")
     for c in range(CLASSES):
@@ -62,7 +64,7 @@ def fingerprints(words: DataFrame, identity: list[str]) -> DataFrame:
     pairs = F.lit(0)
     for i, (x, y) in enumerate(combinations(range(CLASSES), 2)):
         pairs = pairs + F.when((F.col(f"weight_{x}") + F.col(f"weight_{y}")) * 4 >= weight, F.lit(1 << i)).otherwise(F.lit(0))
-    return counted.select(*identity, out.alias("print"), pairs.alias("pairs"))
+    return counted.select(*identity, "n_words", out.alias("print"), pairs.alias("pairs"))
 
 
 def blocks(fingerprint: Column, pairs: Column) -> Column:
@@ -94,15 +96,14 @@ def occurrences(frame: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Lines of under ``FEWEST`` words resemble no other line and have no print.
     """
-    named = _lines(frame, key, text).where("normal != ''").withColumn("words", F.split("normal", " "))
-    named = named.select(
-        "key", "row_id", "line_no", F.xxhash64("normal").alias("node"), F.xxhash64(F.lit(1), "normal").alias("check"), F.size("words").alias("n_words"), "words"
+    n_words = F.when(F.col("normal") == "", 0).otherwise(F.size(F.split("normal", " ")))
+    named = _lines(frame, key, text).select(
+        "key", "row_id", "line_no", "normal", F.xxhash64("normal").alias("node"), F.xxhash64(F.lit(1), "normal").alias("check"), n_words.alias("n_words")
     )
-    identity = ["key", "row_id", "line_no", "node", "check", "n_words"]
+    identity = ["key", "row_id", "line_no", "node", "check"]
     none = F.array(F.lit(None).cast("string"))
-    words = named.select(*identity, F.when(F.col("n_words") >= FEWEST, F.array_distinct("words")).otherwise(none).alias("words"))
-    every = F.ceil(F.size("words") / F.lit(COUNTED)).alias("every")
-    return fingerprints(words.select(*identity, every, F.explode("words").alias("word")), identity)
+    each = F.when(F.col("n_words") >= FEWEST, F.array_distinct(F.split("normal", " "))).otherwise(none)
+    return fingerprints(named.select(*identity, "n_words", F.explode(each).alias("word")), identity)
 
 
 def line_groups(frame: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
