@@ -100,34 +100,53 @@ def _unsettled(crowded: DataFrame, measured: DataFrame, reach: float, pivots: in
     return stored(rest.select("bucket", "node", label.alias("label")))
 
 
-def crowds(members: DataFrame, groups: DataFrame, sizes: DataFrame, small: int = SMALL) -> DataFrame:
-    """Pairs of blocks that between them hold every pair of a connected group once: (unit, only, low, high, node, is_low).
+def crowds(members: DataFrame, sizes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """Every pair of nodes that share a bucket, once: in pairs of blocks (unit, only, low, high, node, is_low), or as rows (a, b).
 
-    For groups that touch a bucket of more than ``small`` nodes, where ``linked_pairs`` leaves pairs out. ``members``: distinct (bucket,
-    node); ``groups``: (node, component) of their links; ``sizes``: (node, size). Linked nodes that share a bucket are in
-    one group, so pairs are looked for inside a group only: the group is one unit (``only`` is null), unless its buckets one by
-    one hold fewer pairs; then each is a unit and ``only`` is that bucket, as two nodes may meet in several. A unit is cut in blocks of
+    ``members``: distinct (bucket, node) of buckets with two nodes or more; ``sizes``: (node, size). Nodes connected by buckets are
+    one unit, all of whose pairs are looked at, unless the buckets one by one hold fewer pairs. Then the nodes that are connected by buckets of more than ``small``
+    nodes are a unit (again unless their buckets one by one hold fewer pairs; each is a unit then and ``only`` is that bucket, as
+    two nodes may meet in several), and the pairs of the other buckets are rows. A unit is cut in blocks of
     about ``BLOCK_NODES`` nodes and ``BLOCK_SIZE`` of size, and each node goes to all pairs of its block with another.
     """
-    grouped = groups.join(sizes, "node")
-    placed = members.join(grouped, "node", "left")
-    parts = cut_lineage(placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")))
-    full = parts.groupBy("bucket").agg((F.sum("n") > small).alias("full"))
-    parts = parts.where("component is not null")
-    spread = parts.join(full, "bucket").groupBy("component").agg(F.max("full").alias("full"), F.sum(F.col("n") * F.col("n")).alias("spread"))
-    whole = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    chosen = cut_lineage(whole.join(spread.where("full"), "component").withColumn("whole", F.col("n") * F.col("n") <= F.col("spread")))
-    cuts = lambda: F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("size") / BLOCK_SIZE)).cast("int").alias("cuts")
-    one = groups.join(chosen.where("whole").select("component", cuts()), "component").select(
-        F.col("component").alias("unit"), F.lit(None).cast("long").alias("only"), "node", "cuts"
-    )
-    split = parts.where("n > 1").join(chosen.where("not whole").select("component"), "component").select("component", "bucket", cuts())
-    several = placed.select("bucket", "component", "node").join(split, ["component", "bucket"])
-    several = several.select(F.xxhash64("component", "bucket").alias("unit"), F.col("bucket").alias("only"), "node", "cuts")
-    units = one.unionByName(several).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
+    groups = stored(components(_stars(members)))
+    units, split = _units(members, groups, sizes, small)
+    rest, pairs = stored(members.join(groups, "node").join(split.select("component").distinct(), "component").select("bucket", "node")), None
+    if not rest.isEmpty():
+        counted = cut_lineage(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+        groups = stored(components(_stars(rest.join(counted.where(F.col("n") > small), "bucket"))))
+        whole, split = _units(rest, groups, sizes, small)
+        several = rest.join(groups, "node").join(split, ["component", "bucket"])
+        several = several.select(F.xxhash64("component", "bucket").alias("unit"), F.col("bucket").alias("only"), "node", "cuts")
+        units = units.unionByName(whole).unionByName(several)
+        few = rest.join(counted.where(F.col("n") <= small), "bucket").join(groups, "node", "left")
+        sides = [few.select("bucket", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
+        pairs = sides[0].join(sides[1], "bucket").where("a < b and not (of_a <=> of_b and of_a is not null)").select("a", "b").distinct()
+    units = units.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
     units = units.withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
     ends = {"low": F.least("block", "other"), "high": F.greatest("block", "other"), "is_low": F.col("block") <= F.col("other")}
-    return cut_lineage(units.withColumns(ends).select("unit", "only", "low", "high", "node", "is_low"))
+    return stored(units.withColumns(ends).select("unit", "only", "low", "high", "node", "is_low")), pairs
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's smallest node and each of its nodes."""
+    least = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    return members.join(least, "bucket").select("a", F.col("node").alias("b"))
+
+
+def _units(members: DataFrame, groups: DataFrame, sizes: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (unit, only, node, cuts) of the groups to be taken whole, and the buckets (component, bucket, cuts) of the others."""
+    placed = members.join(groups, "node").join(sizes, "node")
+    parts = cut_lineage(placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")))
+    spread = parts.groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("spread"))
+    whole = groups.join(sizes, "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    fits = (F.col("n") <= small) | (F.col("n") * F.col("n") <= F.col("spread"))
+    chosen = cut_lineage(whole.join(spread, "component").withColumn("whole", fits))
+    cuts = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("size") / BLOCK_SIZE)).cast("int").alias("cuts")
+    one = groups.join(chosen.where("whole").select("component", cuts), "component")
+    one = one.select(F.col("component").alias("unit"), F.lit(None).cast("long").alias("only"), "node", "cuts")
+    split = parts.where("n > 1").join(chosen.where("not whole").select("component"), "component")
+    return one, split.select("component", "bucket", cuts)
 
 
 def components(links: DataFrame) -> DataFrame:

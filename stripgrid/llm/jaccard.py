@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stripgrid.functions.lineage import cut_lineage
-from stripgrid.llm.common import fresh
-from stripgrid.llm.groups import components, crowds, linked_pairs
+from stripgrid.llm.common import fresh, stored
+from stripgrid.llm.groups import components, crowds
 
 CACHED = 300_000
 COLUMNS = 4096
@@ -107,6 +107,26 @@ def in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def spanning(links: np.ndarray, one: bool) -> np.ndarray:
+    """Of the links between rows and columns (the same nodes if ``one``), enough to connect what they connect."""
+    n, m = links.shape
+    near = links
+    if not one:
+        near = np.zeros((n + m, n + m), bool)
+        near[:n, n:], near[n:, :n] = links, links.T
+    out, left = np.zeros_like(near), np.ones(len(near), bool)
+    while left.any():
+        front = [int(left.argmax())]
+        left[front] = False
+        while front:
+            x = front.pop()
+            new = np.nonzero(near[x] & left)[0]
+            out[x, new] = out[new, x] = True
+            left[new] = False
+            front.extend(new.tolist())
+    return out if one else out[:n, n:]
+
+
 def row_id(frame: DataFrame, key: str, text: str):
     """Rows that agree in key and text share it."""
     return F.xxhash64(key, F.lit("|"), text)
@@ -120,7 +140,6 @@ def similar(
     threshold: float = 0.8,
     rows: int = 5,
     recall: float = 0.999,
-    count_all: bool = True,
     list_all: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Join texts with texts whose n-gram sets have a Jaccard similarity of ``threshold`` or more.
@@ -131,17 +150,15 @@ def similar(
 
     Rows with equal sets become one node before anything is compared. Nodes are shuffled by band hashes; the bands are
     chosen so that a pair at the threshold is found with probability ``recall``; every link is verified on the full
-    sets. In a bucket of more than 32 different sets, sets are measured against pivots (``groups.linked_pairs``): the
-    groups are those of all pairs. For groups that touch such a bucket all pairs are then verified block by block (``groups.crowds``),
-    so ``n_links`` counts every link whatever the bucket sizes; only the counts are written. ``links`` lists all links of other groups,
-    and of these groups those that connect them; with ``list_all`` it lists all, which are n * n / 2 for n near copies.
-    Without ``count_all``, ``n_links`` counts the listed links only, which is enough to tell whether there are any.
+    sets. Sets that share buckets are sent once to a unit and compared there, block of 512 against block (``groups.crowds``), so
+    ``n_links`` counts every link whatever the bucket sizes; a block pair writes the counts, and only as many links as connect
+    its sets. ``links`` lists these; with ``list_all`` it lists all, which are n * n / 2 for n near copies.
 
     Null and empty texts have no n-grams: each such row is its own group with no links. Shorter texts have one n-gram. Rows that agree in
     key and text are copies. Other columns are not read. An empty table gives empty results. A null key is a key that is
     larger than all others.
     """
-    bands = band_count(threshold, rows, recall)
+    bands, reach = band_count(threshold, rows, recall), 1 - threshold + 1e-12
     kind = frame.schema[key].dataType
     schema = T.StructType(
         [
@@ -192,7 +209,7 @@ def similar(
         common = in_common(*sets).astype(np.float64)
         size = [np.array([len(y) for y in x], np.float64) for x in sets]
         near = common / (size[0][:, None] + size[1][None] - common)
-        links = 1.0 - near <= 1 - threshold + 1e-12
+        links = 1.0 - near <= reach
         if only is not None:  # a pair counts in the first bucket that it shares
             before = [[np.array([z for z in y if z < only], np.int64) for y in x["buckets"].to_pylist()] for x in sides]
             links &= in_common(*before) == 0
@@ -200,17 +217,21 @@ def similar(
             np.fill_diagonal(links, False)
         return *names, links, near, one
 
-    def count_links(group: pa.Table) -> pa.Table:
-        a, b, links, _, one = linked(group)
-        names, counts = (a, links.sum(1)) if one else (np.concatenate((a, b)), np.concatenate((links.sum(1), links.sum(0))))
-        return pa.table({"node": pa.array(names, pa.int64()), "n_links": pa.array(counts, pa.int64())})
-
-    def list_links(group: pa.Table) -> pa.Table:
+    def find_links(group: pa.Table) -> pa.Table:
+        """How many links each node has (b is null), then links."""
         a, b, links, near, one = linked(group)
-        i, j = np.nonzero(np.triu(links) if one else links)
-        ends = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+        names, counts = (a, links.sum(1)) if one else (np.concatenate((a, b)), np.concatenate((links.sum(1), links.sum(0))))
+        shown = links if list_all else spanning(links, one)
+        i, j = np.nonzero(np.triu(shown) if one else shown)
         far = 1.0 - near[i, j] if len(i) else np.zeros(0)
-        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64()), "distance": pa.array(far, pa.float64())})
+        alone = pa.nulls(len(names), pa.int64())
+        columns = [
+            pa.concat_arrays([pa.array(names, pa.int64()), pa.array(np.minimum(a[i], b[j]), pa.int64())]),
+            pa.concat_arrays([alone, pa.array(np.maximum(a[i], b[j]), pa.int64())]),
+            pa.concat_arrays([alone.cast(pa.float64()), pa.array(far, pa.float64())]),
+            pa.concat_arrays([pa.array(counts, pa.int64()), pa.nulls(len(i), pa.int64())]),
+        ]
+        return pa.table(columns, names=["a", "b", "distance", "n_links"])
 
     texts = frame.select(F.col(key).alias("key"), row_id(frame, key, text).alias("row_id"), F.col(text).alias("text"))
     base = cut_lineage(texts.mapInArrow(sign, schema))
@@ -230,33 +251,26 @@ def similar(
     )
     sizes = nodes.select("node", "size")
 
-    def distances(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame) -> DataFrame:
         side = lambda table, name, value: table.select(F.col("node").alias(name), F.col(value).alias(f"{value}_{name}"))
         sized = pairs.join(side(sizes, "a", "size"), "a").join(side(sizes, "b", "size"), "b")
         bound = 1.0 - F.least("size_a", "size_b") / F.greatest("size_a", "size_b")  # no pair is nearer than its sizes allow
-        sized = cut_lineage(sized.withColumn("bound", bound))
-        close = sized.where(F.col("bound") <= 2 * (1 - threshold) + 1e-9).select("a", "b")
+        close = cut_lineage(sized.where(bound <= reach).select("a", "b"))
         both = close.join(side(grams, "b", "grams"), "b").join(side(grams, "a", "grams"), "a")
-        measured = both.select("a", "b", "grams_a", "grams_b").mapInArrow(measure, "a long, b long, distance double")
-        return measured.unionByName(
-            sized.where(F.col("bound") > 2 * (1 - threshold) + 1e-9).select("a", "b", F.col("bound").alias("distance"))
-        )
-
-    pairs = linked_pairs(members, distances, 1 - threshold + 1e-12).distinct()
-    groups = components(pairs)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    if count_all or list_all:
-        blocks = crowds(members, groups, sizes)
-        buckets = members.join(blocks.where("only is not null").select("node").distinct(), "node")
-        buckets = buckets.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-        filled = blocks.join(grams, "node").join(buckets, "node", "left").groupBy("unit", "low", "high")
-        ours = blocks.select("node").distinct()
-        exact = filled.applyInArrow(count_links, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
-        degree = cut_lineage(degree.join(ours, "node", "left_anti").unionByName(exact))
-    if list_all:
-        others = pairs.join(ours, pairs["a"] == ours["node"], "left_anti")
-        pairs = others.unionByName(filled.applyInArrow(list_links, "a long, b long, distance double"))
+        both = both.select("a", "b", "grams_a", "grams_b").mapInArrow(measure, "a long, b long, distance double")
+        return stored(both.where(F.col("distance") <= reach))
+
+    blocks, rest = crowds(members, sizes)
+    buckets = members.join(blocks.where("only is not null").select("node").distinct(), "node")
+    buckets = buckets.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    filled = blocks.join(grams, "node").join(buckets, "node", "left").groupBy("unit", "low", "high")
+    found = stored(filled.applyInArrow(find_links, "a long, b long, distance double, n_links long"))
+    pairs, counts = found.where("b is not null").drop("n_links"), found.where("b is null").select(F.col("a").alias("node"), "n_links")
+    if rest is not None:
+        rest = measured(rest)
+        pairs = pairs.unionByName(rest)
+        counts = counts.unionByName(rest.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n_links")))
+    groups, degree = components(pairs), counts.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     grouped = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = cut_lineage(grouped.join(degree, "node", "left"))
     classes = grouped.groupBy("component").agg(F.min("first").alias("class"))
@@ -292,7 +306,7 @@ def keep_one(frame: DataFrame, key: str = "doc_id", text: str = "text", **option
     Of rows that agree in key and text, one stays. Rows without words are groups of their own and all stay. Columns
     are those of the frame.
     """
-    documents, _ = similar(frame, key, text, **{"count_all": False} | options)
+    documents, _ = similar(frame, key, text, **options)
     documents = documents.withColumn("first", F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "row_id"))
     wordless = documents.where("n_links = 0 and copies = 1").select("row_id")
     grouped = documents.where("n_links > 0 or copies > 1")

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 from itertools import combinations
 
@@ -72,6 +73,36 @@ def test_crowded_bucket_counts_all_links(spark, monkeypatch):
     assert sorted(tuple(sorted((x["a_id"], x["b_id"]))) for x in links.collect()) == sorted(pairs)
 
 
+def test_crowded_texts_make_no_rows_of_pairs(spark, monkeypatch):
+    """300 texts near one base, some beyond the threshold: each is sent to a block; no row is a measured pair."""
+    draw, written, plain = random.Random(5), [], groups.stored
+    monkeypatch.setattr(groups, "stored", lambda x: [y := plain(x), written.append(y.count())][0])
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*(f"new{k}" if draw.random() < 0.012 else x for x in words), f"own{k}"])) for k in range(300)]
+    wanted, _ = brute_links(sets(rows))
+    documents, links = similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = documents.collect()
+    assert {x["doc_id"]: x["class_id"] for x in found} == groups_of(sets(rows))
+    total = sum(wanted.values())
+    assert all(x["n_links"] <= wanted[x["doc_id"]] for x in found) and 0.998 * total <= sum(x["n_links"] for x in found)
+    assert max(written) <= 20 * len(rows) and links.count() < len(rows)
+
+
+def test_units_split_by_bucket_keep_every_pair(spark):
+    """A giant group of few pairs a bucket is not taken whole; its small buckets are rows, its crowded ones blocks, each pair once."""
+    members = [(0, i) for i in range(40)] + [(i, x) for i in range(40, 240) for x in (i - 1, i)]
+    frame = spark.createDataFrame(members, "bucket long, node long")
+    sizes = spark.createDataFrame([(i, 10) for i in range(240)], "node long, size long")
+    blocks, pairs = groups.crowds(frame, sizes)
+    met = {(x["a"], x["b"]) for x in pairs.collect()}
+    units = defaultdict(set)
+    for x in blocks.collect():
+        units[x["unit"], x["low"], x["high"]].add(x["node"])
+    inside = [p for nodes in units.values() for p in combinations(sorted(nodes), 2)]
+    assert len(inside) == len(set(inside)) and not met & set(inside)
+    assert met | set(inside) == set(combinations(range(40), 2)) | {(i - 1, i) for i in range(40, 240)}
+
+
 def test_crowded_chain_counts_all_links(spark):
     """A long chain of texts, each near its neighbours only: one group, whose buckets are the units."""
     rows = [(i, " ".join(f"w{j}" for j in range(2 * i, 2 * i + 300))) for i in range(500)]
