@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stripgrid.functions.lineage import cut_lineage
@@ -16,66 +16,82 @@ BLOCK_NODES, BLOCK_SIZE = 512, 2**20
 
 
 def linked_pairs(
-    members: DataFrame, distances: Callable[[DataFrame], DataFrame], reach: float, small: int = SMALL
+    members: DataFrame,
+    values: Callable[[DataFrame], DataFrame],
+    apart: Callable[[Column, Column], Column],
+    distance: Callable[[Column, Column], Column],
+    reach: float,
+    small: int = SMALL,
 ) -> DataFrame:
-    """Links (a, b, distance <= reach) that connect all nodes that share a bucket and lie within reach of each other.
-
-    ``members``: distinct (bucket, node). ``distances`` adds ``distance`` to pairs (a, b); it must be a metric, exact
-    up to 2 x reach, and above that any number over 2 x reach. In a bucket of at most ``small`` nodes every pair is
-    measured. In a larger one all nodes are measured against a pivot, its smallest node, which is one pair a node, then
-    against up to ``small`` pivots at once, then ``MOST_PIVOTS``; pivots leave after their round. Nodes that links of their bucket
-    connect form a class. A node leaves if no node of another class can be within its reach: by the triangle inequality,
-    when its distance to a linked pivot plus the reach is less than the distance of each node outside the pivot's class.
-    A bucket of one class is settled. So two nodes within reach are in the same connected group of the links whatever the
-    bucket sizes, while a bucket of n near copies costs about n pairs a pivot and not n * n / 2. Half of the pivots are
+    """Pairs (a, b) that connect all nodes that share a bucket and lie within reach of each other, and no others.
+
+    ``members``: distinct (bucket, node, size, n) with n > 1 nodes in the bucket. ``values`` adds ``value`` to nodes that are to be measured.
+    ``distance`` of two structs (size, value) must be a metric, exact up to 2 x reach, and above that any number over 2 x reach;
+    ``apart`` of two sizes is a bound from below. In a bucket of at most ``small`` nodes every pair is
+    measured. In a larger one all nodes are measured against a pivot, its smallest node, then
+    against up to ``small`` pivots at once, then ``MOST_PIVOTS``; pivots leave after their round. A node has its pivots beside it in one array,
+    so a round has a row for each member and not for each measured pair. Nodes that links of their bucket
+    connect form a class, and a pair for each node and its class is handed on. A node leaves if no node of another class can be within its reach: by the
+    triangle inequality, when its distance to a linked pivot plus the reach is less than the distance of each node outside the pivot's class.
+    A bucket of one class is settled. So two nodes within reach are in the same connected group of the pairs whatever the
+    bucket sizes, while a bucket of n near copies costs about n distances a pivot and not n * n / 2. Half of the pivots are
     drawn by class, so that the nodes still apart are measured first.
     """
-    links, pivots, turn = None, 1, 0
-    members = stored(members.select("bucket", "node", F.col("node").alias("label")))
-    while True:
+
+    def inner(few: DataFrame) -> DataFrame:
+        sides = [few.select("bucket", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab"]
+        both = sides[0].join(sides[1], "bucket").where("a < b and label_a != label_b")
+        return both.where(apart(F.col("size_a"), F.col("size_b")) <= reach).select("a", "b", "size_a", "size_b").distinct()
+
+    def near(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(known.select(F.col("node").alias(x), F.col("value").alias(f"value_{x}")), x)
+        sides = [F.struct(F.col(f"size_{x}").alias("size"), F.col(f"value_{x}").alias("value")) for x in "ab"]
+        return pairs.where(distance(*sides) <= reach).select("a", "b")
+
+    members = stored(members.select("bucket", "node", "size", "n", F.col("node").alias("label")))
+    pairs = stored(inner(members.where(F.col("n") <= small)))
+    members = members.where(F.col("n") > small).select("bucket", "node", "size", "label")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node"))
+    known = stored(values(wanted.distinct()))
+    links, pivots, turn = stored(near(pairs)), 1, 0
+    while not members.isEmpty():
         by_label, half = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0, F.lit((pivots + 1) // 2)
         draw = F.when(by_label, F.pmod(F.xxhash64("label"), half)).otherwise(F.lit(pivots // 2) + F.pmod(F.xxhash64("node"), half))
         drawn = members.groupBy("bucket", draw.alias("draw")).agg(
-            F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
+            F.min(F.struct("node", "size")).alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
         )
+        drawn = drawn.withColumn("node", F.col("pivot.node")).join(known, "node")
+        pivot = F.struct("node", F.col("pivot.size").alias("size"), "value")
         shapes = drawn.groupBy("bucket").agg(
-            F.sum("n").alias("n"), (F.min("low") != F.max("high")).alias("mixed"), F.sort_array(F.collect_list("pivot")).alias("pivots")
+            F.sum("n").alias("n"), (F.min("low") != F.max("high")).alias("mixed"), F.sort_array(F.collect_list(pivot)).alias("pivots")
         )
-        shapes = cut_lineage(shapes.where("mixed").select("bucket", "n", F.when(F.col("n") > small, F.col("pivots")).alias("pivots")))
-        sized = members.join(shapes, "bucket")
-        few = sized.where(F.col("n") <= small)
-        sides = [few.select("bucket", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"]
-        inner = sides[0].join(sides[1], "bucket").where("a < b and label_a != label_b").select("a", "b")
-        crowded = sized.where(F.col("n") > small).withColumn("is_pivot", F.array_contains("pivots", F.col("node")))
-        crowded = crowded.select("bucket", "node", "label", "is_pivot", F.posexplode("pivots").alias("at", "pivot"))
-        crowded = cut_lineage(crowded.withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}))
-        pairs = inner.unionByName(crowded.where("a != b").select("a", "b")).distinct()
-        measured = stored(distances(pairs).select("a", "b", "distance"))
-        found = measured.where(F.col("distance") <= reach)
-        links = found if links is None else links.unionByName(found)
-        if crowded.isEmpty():
-            return links
+        shapes = stored(shapes.where("mixed").select("bucket", "n", "pivots"))
+        if turn:  # buckets that have become small
+            few = shapes.where(F.col("n") <= small).select("bucket")
+            links = links.unionByName(stored(near(inner(members.join(few, "bucket")))))
+        crowded = shapes.where(F.col("n") > small).drop("n")
         turn += 1
-        members, pivots = _unsettled(crowded, measured, reach, pivots, turn), small if pivots == 1 else MOST_PIVOTS
-        if members.isEmpty():
-            return links
+        members, found = _unsettled(members.join(known, "node").join(crowded, "bucket"), distance, reach, pivots, turn)
+        links, pivots = links.unionByName(found), small if pivots == 1 else MOST_PIVOTS
+    return links
 
 
-def _unsettled(crowded: DataFrame, measured: DataFrame, reach: float, pivots: int, turn: int) -> DataFrame:
-    """(bucket, node, label) of nodes that may still be within reach of a node of another class of their bucket.
+def _unsettled(
+    crowded: DataFrame, distance: Callable[[Column, Column], Column], reach: float, pivots: int, turn: int
+) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, size, label) of nodes that may still be within reach of a node of another class of their bucket, and pairs
+    (a, b) of a node of each label with a pivot of its class.
 
     Per bucket: a bit per pivot says which labels are linked to it, and closing these sets over each other gives the
     classes. All that a bucket's nodes share is sums of fixed size (``pivots`` masks, ``pivots`` distances).
     """
-    measured = measured.withColumnsRenamed({"a": "x", "b": "y"})
-    far = crowded.join(measured, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
-    step = F.struct("at", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    seen = far.groupBy("bucket", "node", "label", "is_pivot").agg(F.sort_array(F.collect_list(step)).alias("steps"))
-    mask = F.aggregate(
-        "steps", F.lit(0).cast("long"), lambda m, s: F.when(s["distance"] <= reach, m + F.call_function("shiftleft", F.lit(1).cast("long"), s["at"])).otherwise(m)
-    )
-    seen = cut_lineage(seen.select("bucket", "node", "label", "is_pivot", F.col("steps.distance").alias("far"), mask.alias("mask")))
-    labels = cut_lineage(seen.groupBy("bucket", "label").agg(F.bit_or("mask").alias("mask")))
+    far = F.transform("pivots", lambda p: distance(F.struct("size", "value"), p))
+    seen = crowded.select("bucket", "node", "size", "label", F.array_contains("pivots.node", F.col("node")).alias("is_pivot"), F.col("pivots.node").alias("pivots"), far.alias("far"))
+    bits = F.transform("far", lambda d, i: F.when(d <= reach, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    mask = F.aggregate(bits, F.lit(0).cast("long"), lambda m, bit: m.bitwiseOR(bit))
+    seen = stored(seen.withColumn("mask", mask))
+    labels = cut_lineage(seen.groupBy("bucket", "label").agg(F.bit_or("mask").alias("mask"), F.min(F.struct("node", "pivots")).alias("least")))
     touching = [F.coalesce(F.bit_or(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col("mask"))), F.lit(0).cast("long")) for i in range(pivots)]
     # Warshall: rows that reach pivot k reach all that k reaches.
     closed = F.expr(
@@ -85,8 +101,10 @@ def _unsettled(crowded: DataFrame, measured: DataFrame, reach: float, pivots: in
     closed = labels.groupBy("bucket").agg(F.array(*touching).alias("touching")).select("bucket", closed.alias("closed"))
     closed = cut_lineage(closed)
     own = F.expr("get(filter(closed, r -> (r & mask) != 0), 0)")
-    classes = labels.join(closed, "bucket").select("bucket", "label", F.coalesce(own, F.lit(0).cast("long")).alias("class"))
-    named = cut_lineage(seen.join(classes, ["bucket", "label"]))
+    classes = stored(labels.join(closed, "bucket").select("bucket", "label", "least", F.coalesce(own, F.lit(0).cast("long")).alias("class")))
+    chief = F.expr("get(least.pivots, bit_count((class & -class) - 1))")  # the pivot of the lowest bit
+    links = classes.where(F.col("class") != 0).select(F.col("least.node").alias("a"), chief.alias("b")).where("a != b")
+    named = seen.join(classes.drop("least"), ["bucket", "label"])
     outside = [
         F.min(F.when(~F.col("is_pivot") & (F.col("class").bitwiseAND(F.lit(1 << i)) == 0), F.get("far", F.lit(i)))) for i in range(pivots)
     ]
@@ -97,7 +115,7 @@ def _unsettled(crowded: DataFrame, measured: DataFrame, reach: float, pivots: in
     # Labels of the classes of one round differ from those of other rounds and (but for 64-bit chance) from nodes.
     label = F.when(F.col("class") == 0, F.col("label")).otherwise(F.xxhash64("bucket", "class", F.lit(turn)))
     rest = named.join(beyond, "bucket").where(~F.col("is_pivot") & ~free)
-    return stored(rest.select("bucket", "node", label.alias("label")))
+    return stored(rest.select("bucket", "node", "size", label.alias("label"))), links
 
 
 def crowds(members: DataFrame, sizes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:

@@ -8,15 +8,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripgrid.functions.lineage import cut_lineage
-from stripgrid.llm.common import fresh
+from stripgrid.llm.common import fresh, stored
 from stripgrid.llm.groups import components, linked_pairs
 
 CLASSES, LANES = 4, 5  # a word belongs to one class; a class has a block of three bits a lane
 SIMILARITY = 0.9
 FEWEST = math.ceil(round(1 / (1 - SIMILARITY), 6)) - 1  # one edit in a shorter line is already too much
 COUNTED = 2**15  # of a line with k times as many words, one in k (by hash) is counted
-SENT_ROWS = 100_000
+SENT_ROWS = 1_000_000
 
 
 def normal_line(line: Column) -> Column:
@@ -113,9 +112,9 @@ def line_groups(frame: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     removed or replaced, is ``SIMILARITY`` or more. Fingerprints only find the pairs that are compared: those that
     agree in two blocks. The measure is a metric, so crowded buckets are settled against pivots (``groups.linked_pairs``).
     """
-    found = cut_lineage(occurrences(frame, key, text))
+    found = stored(occurrences(frame, key, text))
     place = F.struct(F.col("key").isNull().alias("no_key"), "key", "row_id", "line_no")
-    nodes = cut_lineage(
+    nodes = stored(
         found.groupBy("node")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -129,41 +128,34 @@ def line_groups(frame: DataFrame, key: str = "doc_id", text: str = "text") -> tu
         .where(F.col("check") == F.col("other_check"))  # two lines with one hash: neither is touched
         .select("node", "n", "first", "n_words", "print", "pairs")
     )
-    members = nodes.where(F.col("n_words") >= FEWEST).select("node", F.explode(blocks(F.col("print"), F.col("pairs"))).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    reach = 1 - SIMILARITY
-    facts = nodes.select("node", "n_words", "first")
-
-    def distances(pairs: DataFrame) -> DataFrame:
-        sides = [facts.select(*[F.col(x).alias(f"{x}_{end}") for x in facts.columns]) for end in "ab"]
-        sized = pairs.join(sides[0].withColumnRenamed("node_a", "a"), "a").join(sides[1].withColumnRenamed("node_b", "b"), "b")
-        apart = F.abs(F.col("n_words_a") - F.col("n_words_b"))  # no pair is nearer than its lengths allow
-        bound = 2 * apart / (F.col("n_words_a") + F.col("n_words_b") + apart)
-        sized = cut_lineage(sized.select("a", "b", "first_a", "first_b", bound.alias("bound")))
-        near = sized.where(F.col("bound") <= 2 * reach + 1e-9)
-        wanted = near.select("a", "first_a").unionByName(near.select(F.col("b").alias("a"), F.col("first_b").alias("first_a")))
-        wanted = wanted.distinct().select(F.col("a").alias("node"), F.col("first_a.row_id").alias("row_id"), F.col("first_a.line_no").alias("line_no"))
-        rows = frame.select(F.xxhash64(key, F.lit("|"), text).alias("row_id"), F.col(text).alias("text"))
-        line = word_letters(normal_line(F.split("text", "\n")[F.col("line_no")]))
-        wanted = cut_lineage(wanted)
+    members = nodes.where(F.col("n_words") >= FEWEST).select(
+        "node", F.col("n_words").alias("size"), F.explode(blocks(F.col("print"), F.col("pairs"))).alias("bucket")
+    )
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    reach = 1 - SIMILARITY + 1e-12
+
+    def values(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(nodes, "node").select("node", F.col("first.row_id").alias("row_id"), F.col("first.line_no").alias("line_no"))
+        wanted = stored(wanted)
         if wanted.count() <= SENT_ROWS:  # 20 bytes each; else both sides are shuffled
             wanted = F.broadcast(wanted)
-        texts = cut_lineage(rows.join(wanted, "row_id").select("node", line.alias("line")).dropDuplicates(["node"]))
-        both = near.join(texts.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").join(
-            texts.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b"
-        )
-        long = F.length("line_a") + F.length("line_b")
+        rows = frame.select(F.xxhash64(key, F.lit("|"), text).alias("row_id"), F.col(text).alias("text"))
+        line = word_letters(normal_line(F.split("text", "\n")[F.col("line_no")]))
+        return rows.join(wanted, "row_id").select("node", line.alias("value")).dropDuplicates(["node"])
+
+    def apart(a: Column, b: Column) -> Column:  # no pair is nearer than its lengths allow
+        return 2 * F.abs(a - b) / (a + b + F.abs(a - b))
+
+    def distance(a: Column, b: Column) -> Column:
+        long = a["size"] + b["size"]
         most = F.floor(long * (reach / (1 - reach)) + 1).cast("int")  # edits at twice the reach
-        edits = F.expr("levenshtein(line_a, line_b, most)")
-        edit = F.when(F.col("edits") < 0, 1.0).otherwise(2 * F.col("edits") / (F.col("long") + F.col("edits")))
-        measured = both.withColumns({"long": long, "most": most}).withColumn("edits", edits)
-        measured = measured.select("a", "b", edit.alias("distance"))
-        return measured.unionByName(sized.where(F.col("bound") > 2 * reach + 1e-9).select("a", "b", F.col("bound").alias("distance")))
+        edits = F.when(apart(a["size"], b["size"]) > 2 * reach, -1).otherwise(F.call_function("levenshtein", a["value"], b["value"], most))
+        return F.transform(F.array(edits), lambda d: F.when(d < 0, 1.0).otherwise(2 * d / (long + d)))[0]
 
-    links = linked_pairs(members.join(shared, "bucket").select("bucket", "node"), distances, reach + 1e-12)
+    links = linked_pairs(members.join(shared, "bucket"), values, apart, distance, reach)
     grouped = components(links).withColumnRenamed("component", "group")
     repeated = nodes.join(grouped, "node", "left").where((F.col("n") > 1) | F.col("group").isNotNull())
-    repeated = cut_lineage(repeated.select("node", F.coalesce("group", "node").alias("group"), "first"))
+    repeated = stored(repeated.select("node", F.coalesce("group", "node").alias("group"), "first"))
     firsts = repeated.groupBy("group").agg(F.min("first").alias("first"))
     return found, repeated.drop("first").join(firsts, "group").select("node", "group", "first")
 

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from stripgrid.llm import groups
 from stripgrid.llm.lines import SIMILARITY, dedup_lines, word_letters
 from stripgrid.llm.queries import op10_line_dedup
 
@@ -79,6 +80,17 @@ def test_crowded_near_lines(spark):
     assert sum(not x for x in found.values()) >= 10 and found[100] == "A short   line!\nits own line\n" and found[101] == ""
 
 
+def test_crowded_lines_make_no_rows_of_pairs(spark, monkeypatch):
+    """300 lines near one base: what a round writes has a row for each member of a bucket, not one for each measured pair."""
+    draw, written, plain = random.Random(5), [], groups.stored
+    monkeypatch.setattr(groups, "stored", lambda x: [y := plain(x), written.append(y.count())][0])
+    words = [f"word{i}x{i * i}" for i in range(100)]
+    rows = [(k, " ".join(f"new{k}" if draw.random() < 0.012 else x for x in words)) for k in range(300)]
+    found = {x["doc_id"]: x["dropped"] for x in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0] == [] and sum(map(bool, found.values())) >= 295
+    assert max(written) <= 6_000
+
+
 def test_recall_of_one_changed_word(spark):
     """Lines that differ in one word are found whatever their length; lines too far apart never are."""
     draw = random.Random(3)
