@@ -15,7 +15,7 @@ CLASSES, LANES = 4, 5  # a word belongs to one class; a class has a block of thr
 SIMILARITY = 0.9
 FEWEST = math.ceil(round(1 / (1 - SIMILARITY), 6)) - 1  # one edit in a shorter line is already too much
 COUNTED = 2**15  # of a line with k times as many words, one in k (by hash) is counted
-SENT_ROWS = 1_000_000
+SENT_ROWS = 100_000
 
 
 def normal_line(line: Column) -> Column:
